@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from filigree.llm import mixing, pii, quality, sharding, tokens
+from filigree.llm import mixing, ngram_join, pii, quality, sharding, tokens
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op4_mixing": mixing.op4_mixing,
     "op6_pii": pii.op6_pii,
     "op7_tokens": tokens.op7_tokens,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality": quality.op9_quality,
 }
 
