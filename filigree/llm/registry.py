@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from filigree.llm import mixing, ngram_join, pii, quality, sharding, tokens
+from filigree.llm import decontamination, html_extraction, mixing, ngram_join, pii, quality, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_decontamination": decontamination.op2_decontamination,
     "op4_mixing": mixing.op4_mixing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_pii": pii.op6_pii,
     "op7_tokens": tokens.op7_tokens,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality": quality.op9_quality,
+    "op10_html": html_extraction.op10_html,
 }
 
 ORACLES = {"op1_sharding": sharding.OP1_SQL}
