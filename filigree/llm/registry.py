@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from filigree.llm import decontamination, html_extraction, mixing, ngram_join, pii, quality, sharding, tokens, toxicity
+from filigree.llm import decontamination, html_extraction, mixing, ngram_join, pii, quality, sharding, suffix_dedup, tokens, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_pii": pii.op6_pii,
