@@ -64,3 +64,27 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
 
 def null_text(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+#: Bits of the filters below: a megabyte, whatever the input.
+FILTER_BITS = 23
+
+
+def _filter_word(col: str):
+    return F.shiftrightunsigned(F.xxhash64(col), 6).bitwiseAND((1 << (FILTER_BITS - 6)) - 1)
+
+
+def id_filter(ids: DataFrame, col: str) -> DataFrame:
+    """A bit set of fixed size that holds at least the ids, as rows (_w, _bits)."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(col).bitwiseAND(63).cast("int"))
+    return ids.groupBy(_filter_word(col).alias("_w")).agg(F.bit_or(bit).alias("_bits"))
+
+
+def with_filter(df: DataFrame, words: DataFrame, col: str) -> DataFrame:
+    """``df`` with ``_may``: False where ``col`` is surely none of the filter's ids.
+
+    Lets rows that no join needs pass by without a shuffle; a full filter costs
+    only that saving.
+    """
+    hit = F.coalesce(F.getbit("_bits", F.xxhash64(col).bitwiseAND(63)) == 1, F.lit(False))
+    return df.withColumn("_w", _filter_word(col)).join(F.broadcast(words), "_w", "left").withColumn("_may", hit).drop("_w", "_bits")

@@ -102,11 +102,12 @@ def plan(docs: DataFrame, quality: Column | None = None) -> DataFrame:
 
 
 def _decided(docs: DataFrame, quality: Column | None = None) -> DataFrame:
-    """``docs`` with _size, source_size, target and _copies (how often the mix takes the document)."""
+    """The rows of ``docs`` as _row, with _size, source_size, target and _copies (how often the mix takes the document)."""
     cuts = plan(docs, quality)
     hint = F.broadcast if cuts.count() <= BROADCAST_SOURCES else (lambda x: x)
     cuts = cuts.withColumnRenamed("source", "_s")
-    keyed = with_keys(docs.drop("source_size", "target", "epochs"), quality).join(hint(cuts), F.col("source").eqNullSafe(F.col("_s")), "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).select("_row", *[F.col(f"_row.{c}").alias(c) for c in ("doc_id", "text", "source")])
+    keyed = with_keys(rows, quality).join(hint(cuts), F.col("source").eqNullSafe(F.col("_s")), "left")
     within = F.when(F.col("_cut_key").isNotNull(), (F.col("_key") < F.col("_cut_key")) | ((F.col("_key") == F.col("_cut_key")) & (F.col("_tie") <= F.col("_cut_tie")))).otherwise(F.coalesce(F.col("_key") < F.col("_low_key"), F.lit(False)))
     fraction = (within & (F.col("_rest") > 0) & (F.col("_size") > 0)).cast("long")
     return keyed.withColumn("_copies", F.least(F.lit(MAX_EPOCHS), F.col("epochs") + F.coalesce(fraction, F.lit(0))).cast("long"))
@@ -115,7 +116,7 @@ def _decided(docs: DataFrame, quality: Column | None = None) -> DataFrame:
 def mix(docs: DataFrame, quality: Column | None = None) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
     d = _decided(docs, quality)
-    return d.where("_copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return d.where("_copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
 
 
 def mix_report(docs: DataFrame, quality: Column | None = None) -> DataFrame:

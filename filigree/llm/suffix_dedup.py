@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm.frames import map_batches, materialise, null_text, table
+from filigree.llm.frames import id_filter, map_batches, materialise, null_text, table, with_filter
 from filigree.llm.words import _BYTE, Texts, mix64, text_slices
 
 LENGTH, GRAM = 200, 40
@@ -45,8 +45,6 @@ SCAN, CELL = 64, 200_000
 BATCH = 4096
 #: Bytes of a text that are hashed at once; pieces overlap by LENGTH - 1.
 PIECE = 1 << 20
-#: Bits of the filter that keeps texts without repeats from being shuffled.
-FILTER_BITS = 23
 
 _R = 0x9E3779B97F4A7C15
 _INV = pow(_R, -1, 1 << 64)
@@ -336,22 +334,8 @@ def _context_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["gram", "doc", "pos", "a", "b", "context", "m"])
 
 
-def _filter_words(ids: DataFrame) -> DataFrame:
-    """A bit set of fixed size that holds at least the ids, as rows (w, bits)."""
-    h = F.xxhash64("doc")
-    word = F.shiftrightunsigned(h, 6).bitwiseAND((1 << (FILTER_BITS - 6)) - 1)
-    return ids.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))).alias("bits"))
-
-
-def _with_bit(df: DataFrame, words: DataFrame) -> DataFrame:
-    """``df`` with ``_may``: False where its ``doc`` is surely none of the filter's ids."""
-    h = F.xxhash64("doc")
-    w = F.shiftrightunsigned(h, 6).bitwiseAND((1 << (FILTER_BITS - 6)) - 1)
-    return df.withColumn("w", w).join(F.broadcast(words), "w", "left").withColumn("_may", F.coalesce(F.getbit("bits", h.bitwiseAND(63)) == 1, F.lit(False))).drop("w", "bits")
-
-
 def _wanted(keyed: DataFrame, ids: DataFrame) -> DataFrame:
-    return _with_bit(keyed, _filter_words(ids)).where("_may").drop("_may")
+    return with_filter(keyed, id_filter(ids, "doc"), "doc").where("_may").drop("_may")
 
 
 def _cut_out(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -384,7 +368,7 @@ def repeat_report(docs: DataFrame) -> DataFrame:
 
     spans = spans.repartition("doc").mapInArrow(merge, "doc long, a long, b long")
     spans = materialise(spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "repeats-merged")
-    keyed = _with_bit(docs.withColumn("doc", _row_key()), _filter_words(spans.select("doc")))
+    keyed = with_filter(docs.withColumn("doc", _row_key()), id_filter(spans.select("doc"), "doc"), "doc")
     t = null_text().cast("binary")
     clean = keyed.where(~F.col("_may")).select("doc_id", F.octet_length(t).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(t, 256).alias("kept_sha256"))
 
