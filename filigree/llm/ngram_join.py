@@ -9,9 +9,10 @@ n - ceil(t * n) + 1. The steps:
    prefixes, so its bound ``ORDERED`` (a few MB) changes cost, never results.
 2. Equal sets become one, and sets of equal prefix and size one group.
 3. Prefix tokens of group leaders are shuffled once; tokens of one group only
-   are dropped. Group pairs pass the size and position filters.
-4. Neighbours in each token's list are expanded, verified on whole texts, and
-   linked sets joined into components.
+   are dropped. Group pairs pass the size and position filters, once for each
+   run of common tokens, and a bound on the overlap from parity signatures.
+4. Neighbours in the lists of each set's first tokens are expanded, verified on
+   whole texts, and linked sets joined into components.
 5. All remaining pairs of a list, of its groups' members, in different
    components pass the same filters and are verified. Pairs within a component
    are never made, so a group of k near copies costs about k, not k * k, and
@@ -28,11 +29,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filigree.llm.components import components
-from filigree.llm.frames import map_batches, materialise, table
+from filigree.llm.frames import id_filter, map_batches, materialise, table, with_filter
 from filigree.llm.words import mix64, shingle_sets, text_slices
 
 K, PERCENT = 5, 75
@@ -40,10 +41,12 @@ K, PERCENT = 5, 75
 LOCAL_COUNT, TOTAL_COUNT, ORDERED = 4, 8, 1 << 17
 #: Shingles counted together in a task.
 COUNTED = 2_000_000
-#: Neighbours of a set in a list that step 4 tries; members of a list compared in one piece.
-NEIGHBOURS, CELL = 6, 4096
-#: Bits of the filter that keeps texts which no pair needs from being shuffled.
-FILTER_BITS = 23
+#: Tokens of a set whose lists step 4 reads, and the next sets in a list that it tries.
+FIRST, NEIGHBOURS = 8, 4
+#: Members of a list compared in one piece.
+CELL = 4096
+#: Words of 64 bits of a set's parity signature.
+PARITY = 16
 
 _M1, _M2 = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 
@@ -81,11 +84,11 @@ def frequent_shingles(docs: DataFrame, k: int = K) -> tuple[np.ndarray, np.ndarr
     return h[o], rows["c"].to_numpy()[o]
 
 
-SIG = "doc_id long, n long, s1 long, s2 long, g1 long, g2 long, prefix array<long>"
+SIG = "doc_id long, n long, s1 long, s2 long, g1 long, g2 long, prefix array<long>, parity array<long>"
 
 
 def signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int = K, percent: int = PERCENT) -> DataFrame:
-    """Per document: set size, fingerprints of the set (s) and of prefix and size (g), and the prefix."""
+    """Per document: set size, fingerprints of the set (s) and of prefix and size (g), the prefix, and the parity signature."""
     fh, fc = frequent
 
     def run(batch: pa.RecordBatch):
@@ -113,11 +116,23 @@ def signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int
             nn = mix64(n.astype(np.uint64) + _M1)
             g1, g2 = total(mix64(pre ^ _M2), poff) ^ nn, total(mix64(pre + _M1), poff) + nn
             lists = pa.ListArray.from_arrays(pa.array(poff, pa.int32()), _long(pre))
-            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), _long(s1), _long(s2), _long(g1), _long(g2), lists], names=["doc_id", "n", "s1", "s2", "g1", "g2", "prefix"])
+            even = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * PARITY, pa.int32()), _long(_parity(v, off)))
+            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), _long(s1), _long(s2), _long(g1), _long(g2), lists, even], names=["doc_id", "n", "s1", "s2", "g1", "g2", "prefix", "parity"])
 
     return map_batches(docs.select("doc_id", "text"), run, SIG)
 
 
+def _parity(v: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each set PARITY words: each bit tells whether an odd number of members falls on it.
+
+    Two sets differ in at least as many members as their signatures in bits.
+    """
+    at = (v >> np.uint64(40)) % np.uint64(64 * PARITY)
+    cell = np.repeat(np.arange(len(off) - 1), np.diff(off)) * (64 * PARITY) + at.astype(np.int64)
+    odd = np.bincount(cell, minlength=(len(off) - 1) * 64 * PARITY).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
 def _repeated(batches):
     """Rows (token, ...) sorted by token, without those whose token occurs once."""
     held, done = None, None
@@ -174,15 +189,16 @@ def _filtered(a, b, n, pos, percent):
 
 
 def _pairs(reach: int, percent: int):
-    """Candidate pairs of rows (token, lo, hi, block, id, n, pos, comp), sorted by their first three columns.
+    """Candidate pairs of rows (token, lo, hi, block, id, n, pos, comp, prev), sorted by their first three columns.
 
-    Pairs are of different components, and of the blocks lo and hi; ``reach``
-    limits them to that many next rows, 0 to none.
+    Pairs are of different components, of the blocks lo and hi, and do not
+    share the token before this one; ``reach`` limits them to that many next
+    rows, 0 to none.
     """
 
     def run(batches):
         for t in _runs(batches, 3):
-            tok, lo, hi, block, ids, n, pos, comp = (t.column(i).to_numpy() for i in range(8))
+            tok, lo, hi, block, ids, n, pos, comp, prev = (t.column(i).to_numpy() for i in range(9))
             new = np.ones(len(tok), bool)
             new[1:] = (tok[1:] != tok[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
             starts = np.flatnonzero(new)
@@ -198,7 +214,7 @@ def _pairs(reach: int, percent: int):
                 if not len(live) or (reach and d > reach):
                     break
                 a, b = live, live + d
-                ok = (comp[a] != comp[b]) & ((lo[a] == hi[a]) | (block[a] != block[b]))
+                ok = (comp[a] != comp[b]) & (prev[a] != prev[b]) & ((lo[a] == hi[a]) | (block[a] != block[b]))
                 a, b = _filtered(a[ok], b[ok], n, pos, percent)
                 if len(a):
                     x, y = ids[a], ids[b]
@@ -213,16 +229,20 @@ def _pairs(reach: int, percent: int):
 
 
 def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the ids; a filter of fixed size first drops most others where they are read."""
-    h = F.xxhash64("id")
-    word = F.shiftrightunsigned(h, 6).bitwiseAND((1 << (FILTER_BITS - 6)) - 1)
-    bits = ids.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))).alias("bits"))
-    d = docs.select(F.col("doc_id").alias("id"), "text")
-    d = d.withColumn("w", word).join(F.broadcast(bits), "w")
-    d = d.where(F.getbit("bits", F.xxhash64("id").bitwiseAND(63)) == 1).select("id", "text")
+    """(id, text) of the ids; a filter of fixed size first drops most others where they are read."""
+    d = with_filter(docs.select(F.col("doc_id").alias("id"), "text"), id_filter(ids, "id"), "id").where("_may").drop("_may")
     return d.join(ids, "id", "left_semi")
 
 
+def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sets need not differ in too many members, by their parity signatures."""
+    one = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    two = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+    return pairs.join(one, "a").join(two, "b").where(differ <= F.col("na") + F.col("nb") - 2 * need).select("a", "b").distinct()
+
+
 def verify(docs: DataFrame, pairs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """Those of the pairs (a, b) whose whole texts' shingle sets are similar enough."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -275,10 +295,10 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sig = materialise(signatures(docs, frequent_shingles(docs, k), k, percent), "ngram-signatures")
     named = sig.where("doc_id IS NOT NULL AND n > 0")
-    sets = materialise(named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("g1").alias("g1"), F.first("g2").alias("g2")), "ngram-sets")
+    sets = materialise(named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.first("parity").alias("parity")), "ngram-sets")
     groups = sets.groupBy("n", "g1", "g2").agg(F.min("rep").alias("gid"), F.count("*").alias("members"))
     leaders = groups.select(F.col("gid").alias("doc_id"), "n", "g1", "g2")
-    postings = named.drop("s1", "s2").join(leaders, ["doc_id", "n", "g1", "g2"], "left_semi").dropDuplicates(["doc_id", "n", "g1", "g2"])
+    postings = named.select("doc_id", "n", "g1", "g2", "prefix").join(leaders, ["doc_id", "n", "g1", "g2"], "left_semi").dropDuplicates(["doc_id", "n", "g1", "g2"])
     postings = postings.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"))
     lists = postings.repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, id long, n int, pos int")
     lists = materialise(lists, "ngram-lists")
@@ -286,26 +306,31 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     shared = sets.join(groups.where("members > 1"), ["n", "g1", "g2"]).select("gid", "rep", F.col("n").cast("int").alias("n"), F.xxhash64("g1", "g2", F.lit("group")).alias("token"))
     shared = materialise(shared, "ngram-groups")
     inner = shared.select("token", F.col("rep").alias("id"), "n", F.lit(0).alias("pos"))
+    by_set = Window.partitionBy("id").orderBy("pos", "token")
+    before = F.coalesce(F.lag("token").over(by_set), F.bitwise_not("id")).alias("prev")
+    alone = F.bitwise_not("id").alias("prev")
 
     def cells(rows: DataFrame, whole: bool) -> DataFrame:
         """Rows under (token, lo, hi): a list in one cell, or a long one in cells of two of its blocks."""
         long = rows.groupBy("token").count().where(F.col("count") > CELL).select("token", F.ceil(F.col("count") / CELL).cast("int").alias("blocks"))
         r = rows.join(long, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if whole else F.col("block")
-        r = r.withColumn("other", other).select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "pos", "comp")
+        r = r.withColumn("other", other).select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "pos", "comp", "prev")
         return r.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", F.xxhash64("id"))
 
-    near = cells(lists.union(inner).withColumn("comp", F.col("id")), False).mapInArrow(_pairs(NEIGHBOURS, percent), "a long, b long").distinct()
-    near = materialise(near, "ngram-near")
+    first = lists.select("*", before, F.row_number().over(by_set).alias("k")).where(F.col("k") <= FIRST).drop("k")
+    near = cells(first.union(inner.select("*", alone)).withColumn("comp", F.col("id")), False).mapInArrow(_pairs(NEIGHBOURS, percent), "a long, b long").distinct()
+    near = materialise(_close(near, sets, percent), "ngram-near")
     edges = materialise(verify(docs, near, k, percent), "ngram-edges")
     comp = components(edges)
     members = shared.select(F.col("gid").alias("id"), "rep")
-    rest = lists.join(members, "id", "left").select("token", F.coalesce("rep", "id").alias("id"), "n", "pos").union(inner)
+    rest = lists.join(members, "id", "left").select("token", F.coalesce("rep", "id").alias("id"), "n", "pos").union(inner.select("token", "id", "n", F.lit(-1)))
     rest = rest.join(comp, rest["id"] == comp["node"], "left").select("token", "id", "n", "pos", F.coalesce("comp", "id").alias("comp"))
     mixed = rest.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
-    rest = materialise(rest.join(mixed, "token", "left_semi"), "ngram-rest")
+    rest = materialise(rest.join(mixed, "token", "left_semi").select("*", before), "ngram-rest")
+    rest = rest.withColumn("pos", F.greatest("pos", F.lit(0)))
     far = cells(rest, True).mapInArrow(_pairs(0, percent), "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
-    far = materialise(far, "ngram-far")
+    far = materialise(_close(far, sets, percent), "ngram-far")
     edges = edges.union(materialise(verify(docs, far, k, percent), "ngram-edges"))
     comp = components(edges)
     of = sets.select("n", "s1", "s2", "rep").join(comp, sets["rep"] == comp["node"], "left").select("n", "s1", "s2", F.coalesce("comp", "rep").alias("comp"))
