@@ -58,7 +58,7 @@ def numeric_entities(t: Column) -> Column:
         code = F.when(hexa, F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
         ok = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         bytes_ = F.unhex(F.lpad(F.hex(code), 8, "0"))
-        return F.when(ok, F.decode(bytes_, "UTF-32BE")).otherwise(e)
+        return F.when(ok, F.decode(bytes_, "UTF-32")).otherwise(e)
 
     return F.when(F.contains(t, F.lit("&#")), F.aggregate(found, t, lambda acc, e: F.replace(acc, e, char(e)))).otherwise(t)
 
