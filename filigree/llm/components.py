@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Every round is a pair of grouped minima and joins on small rows; the work stays
-distributed and each round's table is written to the shared folder. Each
-partition first contracts its own edges by union-find.
+Tasks of at most ``TASK_EDGES`` edges first contract them by union-find. What is
+left of more than one task goes through rounds of grouped minima and joins on
+small rows; each round's table is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from filigree.llm.frames import materialise
 
 
+#: Edges that one task contracts: some seconds, and less than 100 MB.
+TASK_EDGES = 300_000
+
+
 class Forest:
     """Union-find whose roots are the smallest members."""
 
@@ -53,9 +57,10 @@ def _contract(batches):
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``edges`` (two long columns); comp is the smallest node reachable."""
     a, b = edges.columns
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).mapInArrow(_contract, "u long, v long")
+    parts = -(-edges.count() // TASK_EDGES)
+    e = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).coalesce(max(parts, 1)).mapInArrow(_contract, "u long, v long"), "forest")
     seen = None
-    while True:
+    while parts > 1:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -11,8 +11,9 @@ n - ceil(t * n) + 1. The steps:
 3. Prefix tokens of group leaders are shuffled once; tokens of one group only
    are dropped. Group pairs pass the size and position filters, once for each
    run of common tokens, and a bound on the overlap from parity signatures.
-4. Neighbours in the lists of each set's first tokens are expanded, verified on
-   whole texts, and linked sets joined into components.
+4. Neighbours in the lists of each set's rarest and most frequent tokens, each
+   list in an order of its own, are candidates; each set's ``CLOSEST`` ones by signature are verified on whole texts, and linked
+   sets joined into components.
 5. All remaining pairs of a list, of its groups' members, in different
    components pass the same filters and are verified. Pairs within a component
    are never made, so a group of k near copies costs about k, not k * k, and
@@ -41,8 +42,10 @@ K, PERCENT = 5, 75
 LOCAL_COUNT, TOTAL_COUNT, ORDERED = 4, 8, 1 << 17
 #: Shingles counted together in a task.
 COUNTED = 2_000_000
-#: Tokens of a set whose lists step 4 reads, and the next sets in a list that it tries.
-FIRST, NEIGHBOURS = 8, 4
+#: Rarest and most frequent tokens of a set whose lists step 4 reads, and the next sets in a list that it tries.
+FIRST, LAST, NEIGHBOURS = 3, 3, 2
+#: Candidates of a set that step 4 verifies: two of each make a group one component as a rule.
+CLOSEST = 2
 #: Members of a list compared in one piece.
 CELL = 4096
 #: Words of 64 bits of a set's parity signature.
@@ -191,9 +194,10 @@ def _filtered(a, b, n, pos, percent):
 def _pairs(reach: int, percent: int):
     """Candidate pairs of rows (token, lo, hi, block, id, n, pos, comp, prev), sorted by their first three columns.
 
-    Pairs are of different components, of the blocks lo and hi, and do not
-    share the token before this one; ``reach`` limits them to that many next
-    rows, 0 to none.
+    Pairs are of different components and of the blocks lo and hi; ``reach``
+    limits them to that many next rows, wherever the token stands. With 0 all
+    rows pair that the position filter lets pass, but for those that share the
+    token before this one: they have met there.
     """
 
     def run(batches):
@@ -214,8 +218,8 @@ def _pairs(reach: int, percent: int):
                 if not len(live) or (reach and d > reach):
                     break
                 a, b = live, live + d
-                ok = (comp[a] != comp[b]) & (prev[a] != prev[b]) & ((lo[a] == hi[a]) | (block[a] != block[b]))
-                a, b = _filtered(a[ok], b[ok], n, pos, percent)
+                ok = (comp[a] != comp[b]) & ((prev[a] != prev[b]) | bool(reach)) & ((lo[a] == hi[a]) | (block[a] != block[b]))
+                a, b = _filtered(a[ok], b[ok], n, np.zeros_like(pos) if reach else pos, percent)
                 if len(a):
                     x, y = ids[a], ids[b]
                     out_a.append(np.minimum(x, y))
@@ -235,12 +239,20 @@ def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets need not differ in too many members, by their parity signatures."""
+    """Pairs whose sets need not differ in too many members, by their parity signatures, with that share of members (gap)."""
     one = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
     two = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
     differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    return pairs.join(one, "a").join(two, "b").where(differ <= F.col("na") + F.col("nb") - 2 * need).select("a", "b").distinct()
+    return pairs.join(one, "a").join(two, "b").where(differ <= F.col("na") + F.col("nb") - 2 * need).select("a", "b", (differ / (F.col("na") + F.col("nb"))).alias("gap"))
+
+
+def _closest(pairs: DataFrame) -> DataFrame:
+    """Pairs that are among the ``CLOSEST`` of one of their sets."""
+    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "gap").union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "gap"))
+    w = Window.partitionBy("u").orderBy("gap", F.xxhash64("v"), "v")
+    best = both.withColumn("k", F.row_number().over(w)).where(F.col("k") <= CLOSEST)
+    return best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -316,11 +328,12 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
         r = rows.join(long, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if whole else F.col("block")
         r = r.withColumn("other", other).select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "pos", "comp", "prev")
-        return r.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", F.xxhash64("id"))
+        return r.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", F.xxhash64("id", "token"))
 
-    first = lists.select("*", before, F.row_number().over(by_set).alias("k")).where(F.col("k") <= FIRST).drop("k")
+    place, size = F.row_number().over(by_set), F.count("*").over(Window.partitionBy("id"))
+    first = lists.select("*", F.lit(0).cast("long").alias("prev"), place.alias("k"), size.alias("of")).where((F.col("k") <= FIRST) | (F.col("k") > F.col("of") - LAST)).drop("k", "of")
     near = cells(first.union(inner.select("*", alone)).withColumn("comp", F.col("id")), False).mapInArrow(_pairs(NEIGHBOURS, percent), "a long, b long").distinct()
-    near = materialise(_close(near, sets, percent), "ngram-near")
+    near = materialise(_closest(_close(near, sets, percent)), "ngram-near")
     edges = materialise(verify(docs, near, k, percent), "ngram-edges")
     comp = components(edges)
     members = shared.select(F.col("gid").alias("id"), "rep")
@@ -330,7 +343,7 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     rest = materialise(rest.join(mixed, "token", "left_semi").select("*", before), "ngram-rest")
     rest = rest.withColumn("pos", F.greatest("pos", F.lit(0)))
     far = cells(rest, True).mapInArrow(_pairs(0, percent), "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
-    far = materialise(_close(far, sets, percent), "ngram-far")
+    far = materialise(_close(far, sets, percent).select("a", "b").distinct(), "ngram-far")
     edges = edges.union(materialise(verify(docs, far, k, percent), "ngram-edges"))
     comp = components(edges)
     of = sets.select("n", "s1", "s2", "rep").join(comp, sets["rep"] == comp["node"], "left").select("n", "s1", "s2", F.coalesce("comp", "rep").alias("comp"))

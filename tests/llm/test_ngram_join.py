@@ -40,13 +40,13 @@ def key(r):
 
 def test_against_brute_force(docs, rows):
     want = sorted(map(key, brute(rows)))
-    for first, near, cell, local in ((8, 4, 4096, 4), (1, 1, 3, 1)):
-        old = m.FIRST, m.NEIGHBOURS, m.CELL, m.LOCAL_COUNT
-        m.FIRST, m.NEIGHBOURS, m.CELL, m.LOCAL_COUNT = first, near, cell, local
+    for first, near, cell, local in ((4, 3, 4096, 4), (1, 1, 3, 1)):
+        old = m.FIRST, m.NEIGHBOURS, m.CELL, m.LOCAL_COUNT, m.LAST
+        m.FIRST, m.NEIGHBOURS, m.CELL, m.LOCAL_COUNT, m.LAST = first, near, cell, local, 0
         try:
             assert sorted(key((r.doc_id, r.n_shingles, r.component_id)) for r in m.link(docs).collect()) == want
         finally:
-            m.FIRST, m.NEIGHBOURS, m.CELL, m.LOCAL_COUNT = old
+            m.FIRST, m.NEIGHBOURS, m.CELL, m.LOCAL_COUNT, m.LAST = old
 
 
 def test_empty(none):
@@ -61,8 +61,10 @@ def test_keep_one(docs, rows):
     assert got == sorted([i for i, c in comp.items() if i == c] + [-1, -1])
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (101, 103)] + [(200, 200 + i) for i in range(1, 30)]
-    got = {r.node: r.comp for r in components(spark.createDataFrame(pairs, "a long, b long").repartition(4)).collect()}
-    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 104)} | {200 + i: 200 for i in range(30)}
+    for edges in (300_000, 7):
+        monkeypatch.setattr("filigree.llm.components.TASK_EDGES", edges)
+        got = {r.node: r.comp for r in components(spark.createDataFrame(pairs, "a long, b long").repartition(12)).collect()}
+        assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 104)} | {200 + i: 200 for i in range(30)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
