@@ -3,11 +3,13 @@
 The element trees of one host's pages are merged: a node of the merged tree is
 a path of tags with their class and id. Its importance is the mean, over its
 texts, of 1 - log(pages with that text) / log(pages with that node): near 0
-where all pages say the same, near 1 where each says something else. Branches
-of low importance are removed from each page of the host, unless they are the
+where all pages say the same, near 1 where each says something else. Nodes
+of low importance lose their own texts on each page of the host, never those of
+nodes below them, unless they are the
 host's main body of text or plain content: headings, paragraphs and lists
 without a class or id below the article, which copies of an article share.
-Copies of one page count once. Elements whose tag,
+Copies of one page count once; for headings, paragraphs and lists in an
+article, so do all pages with the article's first heading. Elements whose tag,
 role, class or id names a menu, header, footer, sidebar, notice, advert, form
 or reader comments are removed with all that they hold; where a page has an
 article element, the rest is taken from it.
@@ -49,6 +51,9 @@ _NOISE_NAME = re.compile(
     re.I,
 )
 _MAIN = ("article", "main")
+#: Within an article, the copies of one article (the same first heading) count as one page for these.
+_PLAIN = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre figcaption td th".split())
+_HEADING = re.compile(r"(?:^|/)h[1-6](?:[.#][^/]*)?$")
 
 
 def host_of(url: str | None) -> str:
@@ -159,33 +164,31 @@ def extract(page: str | None, removed: frozenset[str] = frozenset()) -> str:
     found = blocks(page)
     if any(inside for _, inside, _ in found):
         found = [b for b in found if b[1]]
-    return "\n\n".join(t for p, _, t in found if not _below(p, removed))
+    return "\n\n".join(t for p, _, t in found if p not in removed)
 
 
-def _below(path: str, removed: frozenset[str]) -> bool:
-    if not removed:
-        return False
-    while True:
-        if path in removed:
-            return True
-        cut = path.rfind("/")
-        if cut < 0:
-            return False
-        path = path[:cut]
+def _hash(text: str) -> int:
+    return zlib.crc32(text.encode()) << 20 | len(text) & 0xFFFFF
+
+
+def _plain(path: str) -> bool:
+    return re.split(r"[.#]", path.rsplit("/", 1)[-1], maxsplit=1)[0] in _PLAIN
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, chars, importance) of the merged trees' text nodes."""
+    """(host, path, pages, chars, importance) of the merged trees' text nodes; see ``_PLAIN`` for ``pages``."""
 
     def run(batch: pa.RecordBatch):
         rows = []
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            which, host = zlib.crc32((page or "").encode()) << 20 | len(page or "") & 0xFFFFF, host_of(url)
-            rows += {(host, p, zlib.crc32(t.encode()) << 20 | len(t) & 0xFFFFF, which, len(t)) for p, _, t in blocks(page)}
+            which, host, found = _hash(page or ""), host_of(url), blocks(page)
+            title = next((_hash(t) for p, inside, t in found if inside and _HEADING.search(p)), which)
+            rows += {(host, p, _hash(t), title if inside and _plain(p) else which, which, len(t)) for p, inside, t in found}
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "path", "content", "page", "chars"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "path", "content", "page", "copy", "chars"])
 
-    seen = map_batches(pages.select("url", "html"), run, "host string, path string, content long, page long, chars long").distinct()
+    seen = map_batches(pages.select("url", "html"), run, "host string, path string, content long, page long, copy long, chars long").distinct()
+    seen = seen.groupBy("host", "path", "content", "page").agg(F.sum("chars").alias("chars"))
     texts = seen.groupBy("host", "path", "content").agg(F.count("*").alias("c"), F.sum("chars").alias("chars"))
     # pages with the node: at least those of its most frequent text, at most the sum over texts; counted apart.
     nodes = seen.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count("*").alias("pages"))

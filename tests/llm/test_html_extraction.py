@@ -47,3 +47,15 @@ def test_copies_of_an_article_keep_their_heading(spark):
     pages = [(i, "http://h.com/x", f"<body><article><h1>One title</h1><p>Shared start</p><p>Body {i} of the copy</p><div class='x'>Read more offers</div></article></body>") for i in range(20)]
     out = [r.text for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).orderBy("page_id").collect()]
     assert out == [f"One title\n\nShared start\n\nBody {i} of the copy" for i in range(20)]
+
+
+def test_a_removed_container_keeps_what_differs_below_it(spark):
+    pages = [(i, "http://h.com/x", f"<body><div class='story'><span>By Staff</span><p>Unique body {i} of {i * 7} words</p></div></body>") for i in range(12)]
+    out = [r.text for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).orderBy("page_id").collect()]
+    assert out == [f"Unique body {i} of {i * 7} words" for i in range(12)]
+
+
+def test_copies_of_an_article_keep_their_classed_lead(spark):
+    pages = [(i, "http://h.com/x", f"<body><article><h1 class='t'>One title</h1><p class='lead'>Shared lead</p><p>Long body {i} of the copy with words of its own</p></article></body>") for i in range(20)]
+    out = [r.text for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).orderBy("page_id").collect()]
+    assert out == [f"One title\n\nShared lead\n\nLong body {i} of the copy with words of its own" for i in range(20)]
