@@ -39,7 +39,8 @@ LOW, PAGES = 0.2, 8
 BROADCAST_ROWS = 50_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(script|style|noscript|template|textarea|iframe|svg|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_ATTR = re.compile(r"(class|id|role|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_READ = frozenset("class id role hidden style".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _SHORT = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
@@ -68,12 +69,17 @@ def _noise(tag: str, attrs: str, inside_main: bool) -> tuple[bool, str]:
     if not attrs.strip():
         return tag in _NOISE_TAGS or (tag == "header" and not inside_main), tag
     name, noise = tag, tag in _NOISE_TAGS or (tag == "header" and not inside_main)
+    seen: set[str] = set()
     for m in _ATTR.finditer(attrs):
-        key, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "")
+        key = m[1].lower()
+        if key not in _READ or key in seen:
+            continue
+        seen.add(key)
+        value = next((x for x in m.groups()[1:] if x is not None), "")
         if key == "role":
             noise |= value.strip().lower() in _NOISE_ROLES
         elif key == "hidden":
-            noise |= not m[0][6:].strip().startswith("-")
+            noise = True
         elif key == "style":
             noise |= "display:none" in value.replace(" ", "").lower()
         else:

@@ -59,3 +59,14 @@ def test_copies_of_an_article_keep_their_classed_lead(spark):
     pages = [(i, "http://h.com/x", f"<body><article><h1 class='t'>One title</h1><p class='lead'>Shared lead</p><p>Long body {i} of the copy with words of its own</p></article></body>") for i in range(20)]
     out = [r.text for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).orderBy("page_id").collect()]
     assert out == [f"One title\n\nShared lead\n\nLong body {i} of the copy with words of its own" for i in range(20)]
+
+
+@pytest.mark.parametrize("attr", ['aria-hidden="false"', 'title="the hidden room"', "href=/hidden-gems", 'onclick="toggleHidden()"', 'data-role="search"', 'data-id="promo"', "data-x='class=ad'", 'data-hidden'])
+def test_only_whole_attribute_names_count(attr):
+    assert extract(f"<article><p>a <a {attr}>b</a></p><div {attr}>c</div></article>") == "a b\n\nc"
+    assert extract(f"<article {attr}><p>a</p></article>") == "a"
+
+
+@pytest.mark.parametrize("attr", ["hidden", "HIDDEN=''", "data-x=1 hidden", "role='search'", "a=1 style='display: none'", "class=ad"])
+def test_attributes_of_noise(attr):
+    assert extract(f"<article><p>a</p><div {attr}>c</div></article>") == "a"
