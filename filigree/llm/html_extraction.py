@@ -8,6 +8,8 @@ of low importance lose their own texts on each page of the host, never those of
 nodes below them, unless they are the
 host's main body of text or plain content: headings, paragraphs and lists
 without a class or id below the article, which copies of an article share.
+Outside of articles nodes with and without a class are judged alike, and a node
+that stays loses the single texts of low importance.
 Copies of one page count once; for headings, paragraphs and lists in an
 article, so do all pages with the article's first heading. Elements whose tag,
 role, class or id names a menu, header, footer, sidebar, notice, advert, form
@@ -170,19 +172,28 @@ def extract(page: str | None, removed: frozenset[str] = frozenset()) -> str:
     found = blocks(page)
     if any(inside for _, inside, _ in found):
         found = [b for b in found if b[1]]
-    return "\n\n".join(t for p, _, t in found if p not in removed)
+    return "\n\n".join(t for p, _, t in found if not removed or (p not in removed and _text_key(p, _hash(t)) not in removed))
 
 
 def _hash(text: str) -> int:
     return zlib.crc32(text.encode()) << 20 | len(text) & 0xFFFFF
 
 
+def _text_key(path: str, content: int) -> str:
+    """A removed text of a node that keeps its others; no path has a line end."""
+    return f"{path}\n{content}"
+
+
 def _plain(path: str) -> bool:
     return re.split(r"[.#]", path.rsplit("/", 1)[-1], maxsplit=1)[0] in _PLAIN
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, chars, importance) of the merged trees' text nodes; see ``_PLAIN`` for ``pages``."""
+def style_tree(pages: DataFrame, low: float = LOW, least_pages: int = PAGES) -> DataFrame:
+    """(host, path, pages, chars, importance, common) of the merged trees' text nodes; see ``_PLAIN`` for ``pages``.
+
+    ``common`` has the texts whose own importance is low, at most about
+    pages ** low times the node's blocks a page.
+    """
 
     def run(batch: pa.RecordBatch):
         rows = []
@@ -200,20 +211,34 @@ def style_tree(pages: DataFrame) -> DataFrame:
     nodes = seen.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count("*").alias("pages"))
     t = texts.join(nodes, ["host", "path"])
     imp = F.lit(1.0) - F.log(F.col("c").cast("double")) / F.greatest(F.log(F.col("pages").cast("double")), F.lit(1e-9))
-    return t.groupBy("host", "path").agg(F.first("pages").alias("pages"), F.sum("chars").alias("chars"), (F.sum(F.col("c") * imp) / F.sum("c")).alias("importance"))
+    common = F.collect_list(F.when((F.col("pages") >= least_pages) & (imp < low), F.col("content")))
+    return t.groupBy("host", "path").agg(F.first("pages").alias("pages"), F.sum("chars").alias("chars"), (F.sum(F.col("c") * imp) / F.sum("c")).alias("importance"), common.alias("common"))
+
+
+def _judged(pages: DataFrame, low: float, least_pages: int) -> DataFrame:
+    """(host, path, noisy, common) of the nodes that lose all of their texts or some.
+
+    In an article or main element, only nodes marked by a class or id; elsewhere
+    all, and of those that stay also the single texts that the pages share.
+    """
+    inside = F.col("path").rlike(r"(?:^|/)(?:article|main)(?:[.#/]|$)")
+    below = F.regexp_replace("path", r"^(?:.*/)?(?:article|main)(?:[.#][^/]*)?(?=/|$)", "")
+    tree = style_tree(pages, low, least_pages).withColumn("most", F.max("chars").over(Window.partitionBy("host")))
+    noisy = (F.col("pages") >= least_pages) & (F.col("importance") < low) & (F.col("chars") < F.col("most")) & (~inside | below.rlike("[.#]"))
+    some = F.when(inside | noisy, F.array().cast("array<bigint>")).otherwise(F.col("common"))
+    return tree.select("host", "path", noisy.alias("noisy"), some.alias("common")).where("noisy or size(common) > 0")
 
 
 def removed_branches(pages: DataFrame, low: float = LOW, least_pages: int = PAGES) -> DataFrame:
-    """(host, path) of the branches to remove: low importance, marked by a class or id, and not the host's main body of text."""
-    below = F.regexp_replace("path", r"^(?:.*/)?(?:article|main|body)(?:[.#][^/]*)?(?=/|$)", "")
-    tree = style_tree(pages).withColumn("most", F.max("chars").over(Window.partitionBy("host")))
-    return tree.where((F.col("pages") >= least_pages) & (F.col("importance") < low) & (F.col("chars") < F.col("most")) & below.rlike("[.#]")).select("host", "path")
+    """(host, path) of the nodes to remove: low importance, not the host's main body of text, nor plain content of an article."""
+    return _judged(pages, low, least_pages).where("noisy").select("host", "path")
 
 
 def main_text(pages: DataFrame, low: float = LOW, least_pages: int = PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     pages = pages.select("page_id", "url", "html")
-    gone = materialise(removed_branches(pages, low, least_pages), "style-tree")
+    texts = F.transform("common", lambda c: F.concat("path", F.lit("\n"), c.cast("string")))
+    gone = materialise(_judged(pages, low, least_pages).select("host", F.explode(F.when(F.col("noisy"), F.array("path")).otherwise(texts)).alias("path")), "style-tree")
     by_host = gone.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("gone"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)), F.lit(""))
     side = F.broadcast(by_host) if gone.count() <= BROADCAST_ROWS else by_host

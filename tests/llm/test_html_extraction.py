@@ -70,3 +70,9 @@ def test_only_whole_attribute_names_count(attr):
 @pytest.mark.parametrize("attr", ["hidden", "HIDDEN=''", "data-x=1 hidden", "role='search'", "a=1 style='display: none'", "class=ad"])
 def test_attributes_of_noise(attr):
     assert extract(f"<article><p>a</p><div {attr}>c</div></article>") == "a"
+
+
+def test_unclassed_blocks_of_all_pages_go(spark):
+    pages = [(i, "http://h.com/x", f"<body><div><p>We use cookies</p></div><p>Story {i} with {i * 7} words of its own</p><p>Subscribe now</p></body>") for i in range(12)]
+    out = [r.text for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).orderBy("page_id").collect()]
+    assert out == [f"Story {i} with {i * 7} words of its own" for i in range(12)]
