@@ -6,7 +6,8 @@ words within a sentence one <name>. Hashes of five-element windows of the
 benchmark's templates form a table; windows of all documents are looked up in
 it. An item is found in a document when windows on nearly one diagonal cover
 enough of the item; then the slots are compared: the same value in the item
-must always face the same value in the document. Equal values mean a verbatim
+must always face the same value in the document. Each window of the item faces
+one of the document, and the best of all diagonals counts. Equal values mean a verbatim
 copy, other consistent ones a re-parameterised question.
 
 The table goes to the executors in blocks of at most ``BLOCK_BYTES`` of
@@ -20,6 +21,7 @@ other columns are kept by ``remove_contaminated`` and ignored by ``matches``.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -162,25 +164,40 @@ class Benchmark:
             for item, rows in found.items():
                 if len({r[1] for r in rows}) < coverage * self.size[item]:
                     continue
-                best = self._diagonal(rows)
-                share = len({r[1] for r in best}) / self.size[item]
-                if share >= coverage:
-                    same, fits = self._slots(item, best, p)
-                    yield int(d), item, share, min(r[2] for r in best) - int(p.off[d]), max(r[2] for r in best) - int(p.off[d]), same, fits
-
-    @staticmethod
-    def _diagonal(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+                best = self._best(item, rows, p, coverage * self.size[item])
+                if best is not None:
+                    same, fits, n, first, last = best
+                    yield int(d), item, n / self.size[item], first - int(p.off[d]), last - int(p.off[d]), same, fits
+
+    def _best(self, item: int, rows: list[tuple[int, int, int]], p: Templates, least: float) -> tuple[bool, bool, int, int, int] | None:
+        """(equal, consistent, windows found, first and last element) of the best copy: equal before consistent ones, then the most windows, then the earliest.
+
+        Every diagonal is judged, with those up to DRIFT beyond it; each window
+        of the item faces one window of the document.
+        """
         rows.sort()
-        best, seen, a = (0, 0, 0), defaultdict(int), 0
-        for b, r in enumerate(rows):
-            seen[r[1]] += 1
-            while r[0] - rows[a][0] > DRIFT:
-                seen[rows[a][1]] -= 1
-                if not seen[rows[a][1]]:
-                    del seen[rows[a][1]]
-                a += 1
-            best = max(best, (len(seen), -a, b + 1))
-        return rows[-best[1] : best[2]]
+        diagonals = [r[0] for r in rows]
+        equal = {r: self._slots(item, [r], p)[0] for r in rows}
+        best = None
+        for base in sorted(set(diagonals)):
+            near = rows[bisect_left(diagonals, base) : bisect_right(diagonals, base + DRIFT)]
+            if len({r[1] for r in near}) < least:
+                continue
+            for anchor in sorted({r[0] for r in near}):
+                for prefer in (equal, {}):
+                    one: dict[int, tuple] = {}
+                    for r in near:
+                        rank = (not prefer.get(r, False), abs(r[0] - anchor), r)
+                        if r[1] not in one or rank < one[r[1]]:
+                            one[r[1]] = rank
+                    faced = [x[2] for x in one.values()]
+                    same, fits = self._slots(item, faced, p)
+                    first = min(r[2] for r in faced)
+                    judged = ((same, fits, len(faced), -first), (same, fits, len(faced), first, max(r[2] for r in faced)))
+                    best = judged if best is None or judged[0] > best[0] else best
+                    if same:
+                        break
+        return best[1] if best else None
 
     def _slots(self, item: int, rows, p: Templates) -> tuple[bool, bool]:
         """(all slots have equal values, each item value faces one value only)."""
@@ -193,6 +210,7 @@ class Benchmark:
         return all(v == {k} for k, v in faces.items()), all(len(v) == 1 for v in faces.values())
 
 
+
 SCHEMA = "doc_id long, item_id long, coverage double, first_element long, last_element long, verbatim boolean, consistent boolean"
 
 

@@ -30,3 +30,13 @@ def test_rows(spark, docs, none):
     assert kept.columns == docs.columns and kept.where("doc_id in (900, 901, 903)").count() == 0 and kept.count() == docs.count() + 1
     assert matches(none, b).count() == 0 and remove_contaminated(none, b).count() == 0
     assert matches(both, b.limit(0)).count() == 0 and remove_contaminated(both, b.limit(0)).count() == both.count()
+
+
+COINS = "pay 3 red coins 4 red coins 5 red coins and 6 red coins to the guard at the gate"
+
+
+def test_repeated_template_and_clash_before_the_copy():
+    find = lambda text, item: list(Benchmark([5], [item]).find(next(text_slices(pa.array([text])))[2], 0.6))
+    assert find("Some words before. " + COINS + " and after", COINS)[0][5:] == (True, True)
+    assert find(COINS.replace("3", "13").replace("4", "14"), COINS)[0][5:] == (False, True)
+    assert [f[5:] for f in find(CLASH + ". Then other words. " + ITEM, ITEM)] == [(True, True)]
