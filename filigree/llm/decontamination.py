@@ -14,8 +14,11 @@ The table goes to the executors in blocks of at most ``BLOCK_BYTES`` of
 benchmark text; a larger benchmark takes several passes over the documents.
 
 Defined results: null, empty and blank texts hold nothing; an item of fewer
-than five elements is one window of all of them; items without a word are
-skipped; repeated rows give repeated results; an empty table gives no rows;
+than five elements is one window of all of them, looked up in every document;
+an item whose windows all have fewer than two words beside slots is looked up by
+its words and numbers as they stand (elements are then words), and one of a
+single word only in documents that are nothing else; items without a word or
+number are skipped; repeated rows give repeated results; an empty table gives no rows;
 other columns are kept by ``remove_contaminated`` and ignored by ``matches``.
 """
 
@@ -53,13 +56,31 @@ _TAGS = mix64(np.array([11, 12, 13], dtype=np.uint64))
 WORD, NUM, UNIT, NAME = 0, 1, 2, 3
 
 
-class Templates:
-    """Template sequences of the texts of a slice."""
+class Sequence:
+    """Elements of the texts of a slice: hashes, kinds and bytes."""
+
+    def __init__(self, data, h, off, kind, starts, ends):
+        self.data, self.h, self.off, self.kind, self.starts, self.ends = data, h, off, kind, starts, ends
+
+    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, offsets, first elements, at least two words) of the windows of k elements."""
+        win, win_off = windows(self.h, self.off, k, False)
+        first = np.arange(len(win)) - np.repeat(win_off[:-1] - self.off[:-1], np.diff(win_off))
+        lit = np.concatenate([[0], np.cumsum(self.kind == WORD)])
+        return win, win_off, first, lit[first + k] - lit[first] >= 2
+
+    def value(self, i: int) -> bytes:
+        return b" ".join(self.data[self.starts[i] : self.ends[i]].tobytes().split())
+
+
+class Templates(Sequence):
+    """Template sequences of the texts of a slice; ``words`` has their words as they stand."""
 
     def __init__(self, t: Texts):
         folded = Texts(_FOLD[t.data], t.off)
         starts, ends, woff = words(folded)
         h = word_hashes(folded, starts, ends)
+        self.words = Sequence(folded.data, h, woff, np.zeros(len(h), np.int8), starts, ends)
         n = len(starts)
         kind = np.zeros(n, np.int8)
         if n:
@@ -93,16 +114,7 @@ class Templates:
         h[slot] = _TAGS[self.kind[slot] - 1]
         self.starts, self.ends = starts[at], ends[np.append(at[1:], n) - 1] if len(at) else ends[:0]
         self.data = folded.data
-        self.win, self.win_off = windows(h, self.off, K)
-        # Windows of slots alone say nothing.
-        lit = np.concatenate([[0], np.cumsum(~slot)])
-        first_of = np.arange(len(self.win)) - np.repeat(self.win_off[:-1] - self.off[:-1], np.diff(self.win_off))
-        stop_of = np.minimum(first_of + K, np.repeat(self.off[1:], np.diff(self.win_off)))
-        self.first = first_of
-        self.telling = lit[stop_of] - lit[first_of] >= np.minimum(2, stop_of - first_of)
-
-    def value(self, i: int) -> bytes:
-        return b" ".join(self.data[self.starts[i] : self.ends[i]].tobytes().split())
+        self.h = h
 
 
 _UNIT_HASHES = np.zeros(0, np.uint64)
@@ -118,49 +130,73 @@ _UNIT_HASHES = _hash_units()
 
 
 class Benchmark:
-    """Window table of benchmark items, and the slot values of each item's elements."""
+    """Window tables of benchmark items, and the slot values of each item's elements.
+
+    Items are grouped by (templates or words as they stand, window length): a
+    short item has windows of its own length, an item without a window of two
+    words in its template is looked up by its words.
+    """
 
     def __init__(self, ids: list[int], texts: list[str | None]):
-        keys, items, places, self.size = [], [], [], {}
+        rows: dict[tuple[bool, int], list[tuple[np.ndarray, int, np.ndarray]]] = defaultdict(list)
+        self.size: dict[int, int] = {}
         self.slots: dict[int, list[bytes | None]] = {}
         row = 0
         for _, _, t in text_slices(pa.array(texts, pa.string())):
             p = Templates(t)
+            held = {(plain, k): (p.words if plain else p).windows(k) for plain in (False, True) for k in range(1, K + 1)}
             for d in range(len(t)):
-                a, b = p.win_off[d], p.win_off[d + 1]
-                use = np.arange(a, b)[p.telling[a:b]]
-                if len(use):
-                    keys.append(p.win[use])
-                    items.append(np.full(len(use), row))
-                    places.append(p.first[use] - p.off[d])
-                    self.size[row] = len(use)
-                    self.slots[row] = [p.value(i) if p.kind[i] != WORD else None for i in range(p.off[d], p.off[d + 1])]
+                for plain, q in ((False, p), (True, p.words)):
+                    k = min(K, int(q.off[d + 1] - q.off[d]))
+                    if not k:
+                        continue
+                    win, off, first, telling = held[plain, k]
+                    use = np.arange(off[d], off[d + 1])
+                    use = use if plain else use[telling[use]]
+                    if len(use):
+                        rows[plain, k].append((win[use], row, first[use] - q.off[d]))
+                        self.size[row] = len(use)
+                        self.slots[row] = [q.value(i) if q.kind[i] != WORD else None for i in range(q.off[d], q.off[d + 1])]
+                        break
                 row += 1
         self.ids = ids
-        k = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        o = np.argsort(k, kind="stable")
-        k = k[o]
-        self.item = (np.concatenate(items) if items else np.zeros(0, np.int64))[o]
-        self.place = (np.concatenate(places) if places else np.zeros(0, np.int64))[o]
-        self.key, self.at = np.unique(k, return_index=True)
-        self.stop = np.append(self.at[1:], len(k))
+        self.tables = {g: self._table(r) for g, r in rows.items()}
+
+    @staticmethod
+    def _table(rows: list[tuple[np.ndarray, int, np.ndarray]]) -> tuple[np.ndarray, ...]:
+        """(distinct windows, first and end row of each, item and place of the rows)."""
+        keys = np.concatenate([w for w, _, _ in rows])
+        o = np.argsort(keys, kind="stable")
+        key, at = np.unique(keys[o], return_index=True)
+        item = np.repeat([i for _, i, _ in rows], [len(w) for w, _, _ in rows])[o]
+        return key, at, np.append(at[1:], len(keys)), item, np.concatenate([x for _, _, x in rows])[o]
 
     def find(self, t: Texts, coverage: float) -> Iterator[tuple[int, int, float, int, int, bool, bool]]:
         """(document of the slice, item, coverage, first and last element, equal, consistent)."""
-        if not len(self.key):
+        if not self.tables:
             return
         p = Templates(t)
-        at = np.minimum(np.searchsorted(self.key, p.win), len(self.key) - 1)
-        hits = np.flatnonzero((self.key[at] == p.win) & p.telling)
+        for (plain, k), held in self.tables.items():
+            yield from self._find(p.words if plain else p, plain, k, held, coverage)
+
+    def _find(self, p: Sequence, plain: bool, length: int, held: tuple[np.ndarray, ...], coverage: float):
+        keys, starts, stops, items, places = held
+        win, win_off, firsts, telling = p.windows(length)
+        if not len(win):
+            return
+        at = np.minimum(np.searchsorted(keys, win), len(keys) - 1)
+        hits = np.flatnonzero((keys[at] == win) & (telling | plain))
+        if plain and length == 1:  # one word alone is no copy within a longer text
+            hits = hits[np.repeat(np.diff(win_off) == 1, np.diff(win_off))[hits]]
         if not len(hits):
             return
-        docs = np.searchsorted(p.win_off, hits, "right") - 1
+        docs = np.searchsorted(win_off, hits, "right") - 1
         for d in np.unique(docs):
             found = defaultdict(list)
             for w in hits[docs == d]:
                 k = at[w]
-                for m in range(self.at[k], self.stop[k]):
-                    found[int(self.item[m])].append((int(p.first[w] - p.off[d]) - int(self.place[m]), int(self.place[m]), int(p.first[w])))
+                for m in range(starts[k], stops[k]):
+                    found[int(items[m])].append((int(firsts[w] - p.off[d]) - int(places[m]), int(places[m]), int(firsts[w])))
             for item, rows in found.items():
                 if len({r[1] for r in rows}) < coverage * self.size[item]:
                     continue
@@ -169,7 +205,7 @@ class Benchmark:
                     same, fits, n, first, last = best
                     yield int(d), item, n / self.size[item], first - int(p.off[d]), last - int(p.off[d]), same, fits
 
-    def _best(self, item: int, rows: list[tuple[int, int, int]], p: Templates, least: float) -> tuple[bool, bool, int, int, int] | None:
+    def _best(self, item: int, rows: list[tuple[int, int, int]], p: Sequence, least: float) -> tuple[bool, bool, int, int, int] | None:
         """(equal, consistent, windows found, first and last element) of the best copy: equal before consistent ones, then the most windows, then the earliest.
 
         Every diagonal is judged, with those up to DRIFT beyond it; each window
@@ -199,7 +235,7 @@ class Benchmark:
                         break
         return best[1] if best else None
 
-    def _slots(self, item: int, rows, p: Templates) -> tuple[bool, bool]:
+    def _slots(self, item: int, rows, p: Sequence) -> tuple[bool, bool]:
         """(all slots have equal values, each item value faces one value only)."""
         faces: dict[bytes, set[bytes]] = defaultdict(set)
         slots = self.slots[item]

@@ -40,3 +40,12 @@ def test_repeated_template_and_clash_before_the_copy():
     assert find("Some words before. " + COINS + " and after", COINS)[0][5:] == (True, True)
     assert find(COINS.replace("3", "13").replace("4", "14"), COINS)[0][5:] == (False, True)
     assert [f[5:] for f in find(CLASH + ". Then other words. " + ITEM, ITEM)] == [(True, True)]
+
+
+def test_short_items_and_items_of_slots_in_longer_documents():
+    find = lambda text, item: [f[5:] for f in Benchmark([5], [item]).find(next(text_slices(pa.array(["other text", text])))[2], 0.6)]
+    assert find("Here one asks. What is 17 + 25? Nobody knows", "What is 17 + 25?") == [(True, True)]
+    assert find("so then 17 + 25 it was", "17 + 25") == [(True, True)] and find("so then 17 + 26 it was", "17 + 25") == []
+    row = "1 2 3 Anna 4 5 6 7 8 9"
+    assert find("before " + row + " after it", row) == [(True, True)]
+    assert find("word", "word") == [(True, True)] and find("a word of it", "word") == []
