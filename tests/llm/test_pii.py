@@ -51,3 +51,9 @@ def test_rows_and_plan(docs, none):
     out = pii_report(docs)
     assert out.count() == docs.count() and pii_report(none).count() == 0
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_iban_ends_at_its_countrys_length(spark):
+    t = ["DE89370400440532013000 Please pay", "DE89370400440532013000 BIC COBADEFF", "DE89 3704 0044 0532 0130 00 2024", "DE89370400440532013000", "DE893704004405320130001", "NO9386011117947 IN 2024"]
+    got = [r.spans for r in pii_report(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["iban:0:22", "iban:0:22", "iban:0:27", "iban:0:22", "", "iban:0:15"]
