@@ -1,30 +1,30 @@
 """Presentation trees, calculation checks and rendered statements of XBRL links.
 
 Edges have cik or accession, role, parent, child, ord (display order) and
-weight. Trees are walked level by level with a bounded number of joins, so a
+weight. Trees are walked level by level until one is empty, so a
 level of any width stays distributed; a path never enters a node twice, so
 cycles end.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 50
-
 
 def roots(edges: DataFrame, by: list[str]) -> DataFrame:
     """Parents that are no child in the same tree."""
     return edges.select(*by, F.col("parent").alias("node")).distinct().join(edges.select(*by, F.col("child").alias("node")).distinct(), [*by, "node"], "left_anti")
 
 
-def preorder(edges: DataFrame, by: list[str], max_depth: int = MAX_DEPTH) -> DataFrame:
+def preorder(edges: DataFrame, by: list[str], max_depth: int | None = None) -> DataFrame:
     """Nodes in preorder: depth, line_order within the tree and path; children by ord (null first), then name."""
     level = roots(edges, by).select(*by, "node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.array("node").alias("path"), F.array(F.struct(F.lit(None).cast("double").alias("o"), F.col("node").alias("c"))).alias("key"))
     step = edges.select(*by, F.col("parent").alias("node"), F.col("child").alias("_child"), F.col("ord").cast("double").alias("_ord"))
     out = level
-    for _ in range(max_depth):
+    for _ in count() if max_depth is None else range(max_depth):
         level = level.join(step, [*by, "node"]).where(~F.array_contains("path", F.col("_child"))).select(*by, F.col("_child").alias("node"), F.col("node").alias("parent"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("_child")).alias("path"), F.concat("key", F.array(F.struct(F.col("_ord").alias("o"), F.col("_child").alias("c")))).alias("key"))
         level = level.persist()
         if level.isEmpty():

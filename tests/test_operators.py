@@ -122,3 +122,9 @@ def test_narratives():
     i = disclosures.foreign_issuer("<p>" + "y " * 60 + "Symbol: ABC. on NYSE. A dividend and press release. Risk Factors many risks exist here. Item 5 KPMG LLP</p>")[0]
     assert (i["symbol"], i["exchange"], i["auditor"], i["event_signals"]) == ("ABC", "NYSE", "KPMG LLP", ["press_release", "dividend"])
     assert plain("a<br>b") == "a b"
+
+
+def test_long_name_inside_a_longer_one(spark):
+    long = " ".join(f"word{i}" for i in range(14))
+    a, b = spark.createDataFrame([(1, long)], "id long, name string"), spark.createDataFrame([(7, "first " + long + " last")], "other_id long, other_name string")
+    assert [tuple(r) for r in names.match(a, b).collect()] == [(1, 7)]
