@@ -5,8 +5,9 @@ Arrow's contiguous UTF-8 buffer; numpy works on slices of whole documents, so
 memory is bounded by ``CHUNK_BYTES`` plus the longest single document.
 
 Hashes are 64-bit: a polynomial of random byte values per word, then a
-splitmix64 finaliser, then a polynomial of word hashes per window. Two unequal
-windows collide with a chance of about 2**-62.
+splitmix64 finaliser, then a polynomial of word hashes per window. The powers do
+not repeat within a word of any length, so that two unequal words or windows
+collide with a chance of about 2**-60.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _GOLD)
-_POW = np.cumprod(np.full(4096, 0xD1342543DE82EF95, dtype=np.uint64))
+#: Odd and 5 modulo 8, so that its powers repeat after 2**62 places only.
+_BASE = 0xD1342543DE82EF95
+_pow = np.ones(1, np.uint64)
 _COEF = mix64(np.arange(1001, 1065, dtype=np.uint64) * _GOLD) | np.uint64(1)
 
 SPACE = np.zeros(256, dtype=bool)
@@ -42,6 +45,16 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 SAME = np.arange(256, dtype=np.uint8)
 
 
+def _powers(n: int) -> np.ndarray:
+    """At least the first n powers of the base; n is at most ``_HASH_BLOCK``."""
+    global _pow
+    if len(_pow) < n:
+        steps = np.full(min(max(n, 4096, 2 * len(_pow)), _HASH_BLOCK), _BASE, dtype=np.uint64)
+        steps[0] = 1
+        _pow = np.cumprod(steps)
+    return _pow
+
+
 class Texts:
     """Whole documents of one slice: ``data`` bytes and ``off`` document offsets."""
 
@@ -93,18 +106,28 @@ def words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def word_hashes(t: Texts, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
-    """A 64-bit hash of each word's bytes after the byte map ``fold``."""
+    """A 64-bit hash of each word's bytes after the byte map ``fold``; longer words than a block go block by block."""
     out = np.empty(len(starts), dtype=np.uint64)
+    size = ends - starts
+    huge = size > _HASH_BLOCK
+    for w in np.flatnonzero(huge):
+        total = 0
+        for k, a in enumerate(range(int(starts[w]), int(ends[w]), _HASH_BLOCK)):
+            piece = _BYTE[fold[t.data[a : min(a + _HASH_BLOCK, int(ends[w]))]]]
+            total += int((piece * _powers(len(piece))[: len(piece)]).sum(dtype=np.uint64)) * pow(_BASE, k * _HASH_BLOCK, 1 << 64)
+        out[w] = (total + int(size[w])) & ((1 << 64) - 1)
+    usual = np.flatnonzero(~huge)
+    reach = np.cumsum(size[usual])
     i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _HASH_BLOCK)))
-        lens = ends[i:j] - starts[i:j]
+    while i < len(usual):
+        j = max(i + 1, int(np.searchsorted(reach, (reach[i - 1] if i else 0) + _HASH_BLOCK, "right")))
+        at_word = usual[i:j]
+        lens = size[at_word]
         at = np.zeros(j - i, dtype=np.int64)
         np.cumsum(lens[:-1], out=at[1:])
-        pos = np.arange(int(lens.sum()), dtype=np.int64)
-        inner = pos - np.repeat(at, lens)
-        byte = fold[t.data[inner + np.repeat(starts[i:j], lens)]]
-        out[i:j] = np.add.reduceat(_BYTE[byte] * _POW[inner & 4095], at) + lens.astype(np.uint64)
+        inner = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(at, lens)
+        byte = fold[t.data[inner + np.repeat(starts[at_word], lens)]]
+        out[at_word] = np.add.reduceat(_BYTE[byte] * _powers(int(lens.max()))[inner], at) + lens.astype(np.uint64)
         i = j
     return mix64(out)
 

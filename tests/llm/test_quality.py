@@ -3,7 +3,7 @@ from collections import Counter
 
 import pyarrow as pa
 
-from filigree.llm.quality import RULES, Slice, cascade, order_rules, quality_report
+from filigree.llm.quality import RULES, Slice, cascade, measure, order_rules, quality_report, sampled_order
 from filigree.llm.words import text_slices
 
 
@@ -22,7 +22,7 @@ def figures(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, sum(mark)
 
 
-EXTRA = ["a\nb\n\na\n \nb\nb", "x ## y\n" * 40, "A B C " * 60, "same line here\n" * 3 + "other", "w %%% é|é " * 30]
+EXTRA = ["a\nb\n\na\n \nb\nb", "x ## y\n" * 40, "A B C " * 60, "same line here\n" * 3 + "other", "w %%% é|é " * 30, "a" * 4096 + "b" * 4096 + "\n" + "b" * 4096 + "a" * 4096, *["\n".join([x + y, y + x, x + y]) for x, y in (("q" * 4096, "r" * 1500), ("q" * 8192, "r" * 12000), ("q" * (1 << 20), "r" * 4096))]]
 
 
 def test_figures_against_brute_force(spark, docs, rows):
@@ -39,9 +39,14 @@ def test_figures_against_brute_force(spark, docs, rows):
 def test_cascade_does_not_depend_on_the_order(rows):
     t = next(text_slices(pa.array([r[1] for r in rows] + EXTRA)))[2]
     want = ~sum((RULES[k](Slice(t)) for k in RULES), start=RULES["symbols"](Slice(t)))
-    for order in (list(RULES), list(RULES)[::-1], order_rules([r[1] for r in rows])):
+    for order in (list(RULES), list(RULES)[::-1], order_rules(measure(t))):
         assert sorted(order) == sorted(RULES) and (cascade(t, order) == want).all()
 
 
 def test_empty(none):
     assert quality_report(none).count() == 0
+
+
+def test_sampled_order_names_every_rule(docs, none):
+    assert sorted(sampled_order(docs)) == sorted(sampled_order(none)) == sorted(RULES)
+    assert order_rules({"a": (0, 1.0), "b": (5, 1.0), "c": (5, 0.1)}) == ["c", "b", "a"]
