@@ -9,16 +9,23 @@ n - ceil(t * n) + 1. The steps:
    prefixes, so its bound ``ORDERED`` (a few MB) changes cost, never results.
 2. Equal sets become one, and sets of equal prefix and size one group.
 3. Prefix tokens of group leaders are shuffled once; tokens of one group only
-   are dropped. Group pairs pass the size and position filters, once for each
-   run of common tokens, and a bound on the overlap from parity signatures.
-4. Neighbours in the lists of each set's rarest and most frequent tokens, each
-   list in an order of its own, are candidates; each set's ``CLOSEST`` ones by signature are verified on whole texts, and linked
-   sets joined into components.
+   are dropped, and lists of two that the size and position filters part.
+4. Hubs: each list names two members that the others are compared with, the
+   one with the fewest unshared prefix tokens (the text that copies were made
+   of has none) and one by hash. Of the hubs of its rarest and most frequent
+   tokens each set takes the closest by signature; those pairs are verified on
+   whole texts, and linked sets joined into components. So a group of k near
+   copies costs about k pairs.
 5. All remaining pairs of a list, of its groups' members, in different
-   components pass the same filters and are verified. Pairs within a component
-   are never made, so a group of k near copies costs about k, not k * k, and
-   no link that matters to a component is lost. Lists beyond ``CELL`` members
-   are compared in cells of two blocks, each in a task of its own.
+   components pass the size and position filters and a bound on the overlap
+   from parity signatures before they become rows, once for each run of common
+   tokens; those left are verified. No link that matters to a component is
+   lost. Of a list beyond ``CELL`` members the largest component is dealt over
+   blocks and met by the others there; neither is held in one task.
+
+Signatures: each bit tells whether an odd number of a set's shingles falls on
+it. Two sets differ in at least as many shingles as their signatures in bits,
+so a pair is only dropped when its overlap is surely too small.
 
 Defined results: null, empty and blank texts have an empty set and are linked
 with nothing; rows with a null doc_id get a null component and are not linked;
@@ -42,14 +49,14 @@ K, PERCENT = 5, 75
 LOCAL_COUNT, TOTAL_COUNT, ORDERED = 4, 8, 1 << 17
 #: Shingles counted together in a task.
 COUNTED = 2_000_000
-#: Rarest and most frequent tokens of a set whose lists step 4 reads, and the next sets in a list that it tries.
-FIRST, LAST, NEIGHBOURS = 3, 3, 2
-#: Candidates of a set that step 4 verifies: two of each make a group one component as a rule.
-CLOSEST = 2
+#: Rarest and most frequent tokens of a set whose lists' hubs step 4 reads.
+FIRST, LAST = 3, 3
 #: Members of a list compared in one piece.
 CELL = 4096
-#: Words of 64 bits of a set's parity signature.
-PARITY = 16
+#: Words of 64 bits of a signature's shortest form, and of its longest.
+SHORT, LONG = 4, 1024
+#: Pairs of a hub that one task verifies together.
+SHARE = 64
 
 _M1, _M2 = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 
@@ -87,7 +94,7 @@ def frequent_shingles(docs: DataFrame, k: int = K) -> tuple[np.ndarray, np.ndarr
     return h[o], rows["c"].to_numpy()[o]
 
 
-SIG = "doc_id long, n long, s1 long, s2 long, g1 long, g2 long, prefix array<long>, parity array<long>"
+SIG = "doc_id long, n long, s1 long, s2 long, g1 long, g2 long, prefix array<long>, parity array<long>, f0 long, f1 long, f2 long, f3 long"
 
 
 def signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -119,43 +126,58 @@ def signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int
             nn = mix64(n.astype(np.uint64) + _M1)
             g1, g2 = total(mix64(pre ^ _M2), poff) ^ nn, total(mix64(pre + _M1), poff) + nn
             lists = pa.ListArray.from_arrays(pa.array(poff, pa.int32()), _long(pre))
-            even = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * PARITY, pa.int32()), _long(_parity(v, off)))
-            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), _long(s1), _long(s2), _long(g1), _long(g2), lists, even], names=["doc_id", "n", "s1", "s2", "g1", "g2", "prefix", "parity"])
+            bits, boff = _parity(v, off)
+            even = pa.ListArray.from_arrays(pa.array(boff, pa.int32()), _long(bits))
+            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), _long(s1), _long(s2), _long(g1), _long(g2), lists, even, *map(_long, _folded(bits, boff))], names=["doc_id", "n", "s1", "s2", "g1", "g2", "prefix", "parity", *SHORT_BITS])
 
     return map_batches(docs.select("doc_id", "text"), run, SIG)
 
 
-def _parity(v: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """For each set PARITY words: each bit tells whether an odd number of members falls on it.
+SHORT_BITS = [f"f{i}" for i in range(SHORT)]
 
-    Two sets differ in at least as many members as their signatures in bits.
-    """
-    at = (v >> np.uint64(40)) % np.uint64(64 * PARITY)
-    cell = np.repeat(np.arange(len(off) - 1), np.diff(off)) * (64 * PARITY) + at.astype(np.int64)
-    odd = np.bincount(cell, minlength=(len(off) - 1) * 64 * PARITY).astype(np.uint8) & 1
-    return np.packbits(odd, bitorder="little").view(np.uint64)
 
+def _parity(v: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity signatures of sets, of about two bits a member, and their offsets; lengths are powers of two."""
+    n = np.diff(off)
+    words = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / 32)).astype(np.int64).clip(0), SHORT, LONG)
+    boff = np.concatenate([[0], np.cumsum(words)])
+    at = (v >> np.uint64(40)).astype(np.int64) & (np.repeat(words, n) * 64 - 1)
+    odd = np.bincount(np.repeat(boff[:-1] * 64, n) + at, minlength=int(boff[-1]) * 64).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.uint64), boff
 
-def _repeated(batches):
-    """Rows (token, ...) sorted by token, without those whose token occurs once."""
-    held, done = None, None
-    for b in batches:
-        if held is not None:
-            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            held = None
-        if not b.num_rows:
-            continue
-        tok = b.column(0).to_numpy()
-        same = tok[1:] == tok[:-1]
-        keep = np.zeros(len(tok), bool)
-        keep[1:] = same
-        keep[:-1] |= same
-        keep[0] |= done is not None and tok[0] == done
-        if not keep[-1]:
-            held = b.slice(b.num_rows - 1)
-        done = int(tok[-1])
-        if keep.any():
-            yield b.filter(pa.array(keep))
+
+def _folded(bits: np.ndarray, boff: np.ndarray) -> list[np.ndarray]:
+    """The signatures' shortest form: a signature of half the length is the xor of the two halves."""
+    return [np.array([np.bitwise_xor.reduce(bits[a + i : b : SHORT]) for a, b in zip(boff[:-1], boff[1:], strict=True)], np.uint64) for i in range(SHORT)]
+
+
+def _repeated(percent: int):
+    """Rows (token, id, n, pos) sorted by token, without those whose token occurs once or twice in sets too far apart."""
+
+    def run(batches):
+        held, done = None, None
+        for b in batches:
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+                held = None
+            if not b.num_rows:
+                continue
+            tok, n, pos = (b.column(i).to_numpy() for i in (0, 2, 3))
+            same = tok[1:] == tok[:-1]
+            keep = np.zeros(len(tok), bool)
+            keep[1:] = same
+            keep[:-1] |= same
+            keep[0] |= done is not None and tok[0] == done
+            two = 1 + np.flatnonzero(same[1:-1] & ~same[:-2] & ~same[2:])
+            far = np.setdiff1d(two, _filtered(two, two + 1, n, pos, percent)[0], assume_unique=True)
+            keep[far] = keep[far + 1] = False
+            if not keep[-1]:
+                held = b.slice(b.num_rows - 1)
+            done = int(tok[-1])
+            if keep.any():
+                yield b.filter(pa.array(keep))
+
+    return run
 
 
 def _runs(batches, width: int):
@@ -185,121 +207,168 @@ def _runs(batches, width: int):
 
 def _filtered(a, b, n, pos, percent):
     """Pairs (by row index) that the size and position filters let pass."""
-    na, nb = n[a], n[b]
+    na, nb = n[a].astype(np.int64), n[b].astype(np.int64)
     need = (percent * (na + nb) + 99 + percent) // (100 + percent)
     ok = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.minimum(na - pos[a], nb - pos[b]) >= need)
     return a[ok], b[ok]
 
 
-def _pairs(reach: int, percent: int):
-    """Candidate pairs of rows (token, lo, hi, block, id, n, pos, comp, prev), sorted by their first three columns.
-
-    Pairs are of different components and of the blocks lo and hi; ``reach``
-    limits them to that many next rows, wherever the token stands. With 0 all
-    rows pair that the position filter lets pass, but for those that share the
-    token before this one: they have met there.
+def _all_pairs(starts: np.ndarray, stops: np.ndarray, comp: np.ndarray):
+    """Index pairs of rows of one piece, a bounded number at a time: all of small pieces, those outside its largest component with all of a large one."""
+    size = stops - starts
+    mixed = np.maximum.reduceat(comp, starts) != np.minimum.reduceat(comp, starts)
+    small = size <= 64
+    stop = np.repeat(np.where(small & mixed, stops, starts), size)
+    live = np.arange(len(comp))
+    d = 0
+    while True:
+        d += 1
+        live = live[live + d < stop[live]]
+        if not len(live):
+            break
+        yield live, live + d
+    large = mixed & ~small
+    for a, b in zip(starts[large].tolist(), stops[large].tolist(), strict=True):
+        values, counts = np.unique(comp[a:b], return_counts=True)
+        for i in a + np.flatnonzero(comp[a:b] != values[counts.argmax()]):
+            yield np.full(b - a, i), np.arange(a, b)
+
+
+def _pairs(percent: int):
+    """Candidate pairs of rows (token, lo, hi, block, id, n, pos, comp, prev, short signature), sorted by their first three columns.
+
+    Pairs are of different components and of the blocks lo and hi, and not of
+    sets that share the token before this one: they have met there.
     """
 
     def run(batches):
         for t in _runs(batches, 3):
-            tok, lo, hi, block, ids, n, pos, comp, prev = (t.column(i).to_numpy() for i in range(9))
+            tok, lo, hi, block, ids, n, pos, comp, prev, *bits = (t.column(i).to_numpy() for i in range(9 + SHORT))
             new = np.ones(len(tok), bool)
             new[1:] = (tok[1:] != tok[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
             starts = np.flatnonzero(new)
-            lens = np.diff(np.append(starts, len(tok)))
-            mixed = np.maximum.reduceat(comp, starts) != np.minimum.reduceat(comp, starts)
-            stop = np.repeat(starts + lens, lens)
-            live = np.flatnonzero(np.repeat(mixed, lens))
+            stops = np.append(starts[1:], len(tok))
+            bits = [x.view(np.uint64) for x in bits]  # bits of signed numbers would be those of their absolute value
             out_a, out_b = [], []
-            d = 0
-            while True:
-                d += 1
-                live = live[live + d < stop[live]]
-                if not len(live) or (reach and d > reach):
-                    break
-                a, b = live, live + d
-                ok = (comp[a] != comp[b]) & ((prev[a] != prev[b]) | bool(reach)) & ((lo[a] == hi[a]) | (block[a] != block[b]))
-                a, b = _filtered(a[ok], b[ok], n, np.zeros_like(pos) if reach else pos, percent)
+            for a, b in _all_pairs(starts, stops, comp):
+                ok = (comp[a] != comp[b]) & (prev[a] != prev[b]) & ((lo[a] == hi[a]) | (block[a] != block[b]))
+                a, b = _filtered(a[ok], b[ok], n, pos, percent)
                 if len(a):
-                    x, y = ids[a], ids[b]
-                    out_a.append(np.minimum(x, y))
-                    out_b.append(np.maximum(x, y))
+                    differ = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in bits)
+                    ok = differ <= _slack(n[a], n[b], percent)
+                    a, b = a[ok], b[ok]
+                    out_a.append(np.minimum(ids[a], ids[b]))
+                    out_b.append(np.maximum(ids[a], ids[b]))
             if out_a:
-                x, y = np.concatenate(out_a), np.concatenate(out_b)
-                u = np.unique(np.stack([x, y]), axis=1)
+                u = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1])], names=["a", "b"])
 
     return run
 
 
-def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the ids; a filter of fixed size first drops most others where they are read."""
-    d = with_filter(docs.select(F.col("doc_id").alias("id"), "text"), id_filter(ids, "id"), "id").where("_may").drop("_may")
-    return d.join(ids, "id", "left_semi")
+def _slack(na, nb, percent: int):
+    """Members in which two linked sets may differ at most."""
+    total = na.astype(np.int64) + nb
+    return total - 2 * ((percent * total + 99 + percent) // (100 + percent))
+
+
+def _slack_sql(na, nb, percent: int):
+    return na + nb - 2 * F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
 
 
 def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets need not differ in too many members, by their parity signatures, with that share of members (gap)."""
+    """Pairs whose sets need not differ in too many members by their whole signatures."""
     one = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
     two = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    return pairs.join(one, "a").join(two, "b").where(differ <= F.col("na") + F.col("nb") - 2 * need).select("a", "b", (differ / (F.col("na") + F.col("nb"))).alias("gap"))
 
+    def half(x, other):
+        """The signature at the other's length, if that is half of its own; sizes of a pair never lie further apart."""
+        k = F.size(other)
+        return F.when(F.size(x) > k, F.zip_with(F.slice(x, 1, k), F.slice(x, k + 1, k), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
+
+    x, y = F.col("pa"), F.col("pb")
+    differ = F.aggregate(F.zip_with(half(x, y), half(y, x), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, u: s + u)
+    return pairs.join(one, "a").join(two, "b").where(differ <= _slack_sql(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+
+
+def _closest_hubs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each set of the rows (token, id, n, short signature, unshared) with the closest hub b of its lists, if one may be near enough."""
+    me = F.struct("id", "n", *SHORT_BITS)
+    hubs = rows.groupBy("token").agg(F.min(F.struct("unshared", F.xxhash64("id").alias("h"), me.alias("me")))["me"].alias("one"), F.min(F.struct(F.xxhash64("id", "token").alias("h"), me.alias("me")))["me"].alias("two"))
+    met = rows.join(hubs, "token").select("id", "n", *SHORT_BITS, F.explode(F.array("one", "two")).alias("hub")).where("id <> hub.id")
+    differ = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"hub.{f}"))) for f in SHORT_BITS), F.lit(0))
+    met = met.where(differ <= _slack_sql(F.col("n"), F.col("hub.n"), percent)).where(F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
+    best = met.groupBy("id").agg(F.min_by("hub.id", F.struct(differ / (F.col("n") + F.col("hub.n")), F.xxhash64("hub.id"), "hub.id")).alias("b"))
+    return best.select(F.col("id").alias("a"), "b")
 
-def _closest(pairs: DataFrame) -> DataFrame:
-    """Pairs that are among the ``CLOSEST`` of one of their sets."""
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "gap").union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "gap"))
-    w = Window.partitionBy("u").orderBy("gap", F.xxhash64("v"), "v")
-    best = both.withColumn("k", F.row_number().over(w)).where(F.col("k") <= CLOSEST)
-    return best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the ids and of few others: a filter of fixed size drops most where they are read."""
+    return with_filter(docs.select(F.col("doc_id").alias("id"), "text"), id_filter(ids, "id"), "id").where("_may").drop("_may")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (a, b) whose whole texts' shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = _needed(docs, ids)
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    """Those of the pairs (a, b) whose whole texts' shingle sets are similar enough.
 
-    def run(batch: pa.RecordBatch):
-        a, b = batch.column(0), batch.column(1)
-        i, keep = 0, []
-        size = [x + y for x, y in zip(_lengths(batch.column(2)), _lengths(batch.column(3)), strict=True)]
-        while i < len(a):
-            j, s = i, 0
-            while j < len(a) and (j == i or s + size[j] <= 4 << 20):
-                s += size[j]
-                j += 1
-            va, oa = _sets(batch.column(2).slice(i, j - i), k)
-            vb, ob = _sets(batch.column(3).slice(i, j - i), k)
-            for r in range(j - i):
-                x, y = va[oa[r] : oa[r + 1]], vb[ob[r] : ob[r + 1]]
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            i = j
-        mask = pa.array(keep)
-        yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
-
-    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), run, "a long, b long").distinct()
-
-
-def _lengths(column: pa.Array) -> list[int]:
-    import pyarrow.compute as pc
-
-    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
-
-
-def _sets(column: pa.Array, k: int):
-    parts, offs, at = [], [np.zeros(1, np.int64)], 0
-    for _, _, t in text_slices(column):
-        v, o = shingle_sets(t, k)
-        parts.append(v)
-        offs.append(o[1:] + at)
-        at += len(v)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.concatenate(offs)
+    Texts a are sent to their b, at most ``SHARE`` to one of its shares or so, so
+    that a text of many pairs is read once for a share and none meets all in one task.
+    """
+    parts = pairs.groupBy("b").count().where(F.col("count") > SHARE).select("b", F.ceil(F.col("count") / SHARE).alias("parts"))
+    dealt = pairs.join(parts, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1)))).select("a", "b", "part")
+    hubs = dealt.select("b", "part").distinct()
+    left = dealt.join(_texts(docs, dealt.select(F.col("a").alias("id"))), F.col("a") == F.col("id")).select("b", "part", "a", "text")
+    right = hubs.join(_texts(docs, hubs.select(F.col("b").alias("id"))), F.col("b") == F.col("id")).select("b", "part", F.lit(None).cast("long").alias("a"), "text")
+
+    def run(batches):
+        key, sets = None, []
+        for batch in batches:
+            b, part, a = (batch.column(i).to_pylist() for i in range(3))
+            out_a, out_b = [], []
+            for i, j, t in text_slices(batch.column(3)):
+                v, off = shingle_sets(t, k)
+                for r in range(i, j):
+                    x = v[off[r - i] : off[r - i + 1]]
+                    if (b[r], part[r]) != key:
+                        key, sets = (b[r], part[r]), []
+                    if a[r] is None:  # comes first; a doc_id of several rows has several texts
+                        sets.append(x.copy())
+                        continue
+                    for y in sets:
+                        both = np.concatenate([x, y])
+                        both.sort()
+                        common = int((both[1:] == both[:-1]).sum())
+                        if 100 * common >= percent * (len(x) + len(y) - common) and common:
+                            out_a.append(a[r])
+                            out_b.append(b[r])
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    rows = left.union(right).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Rows under (token, lo, hi): a list in one cell, a long one in cells of two blocks.
+
+    The blocks of a long list's largest component are met by the others' only.
+    """
+    of = rows.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("all"), F.max("count").alias("most"), F.max_by("comp", "count").alias("top"))
+    long = of.where(F.col("all") > CELL).select("token", "top", F.ceil((F.col("all") - F.col("most")) / CELL).cast("int").alias("minor"), F.ceil(F.col("most") / CELL).cast("int").alias("major"))
+    whole, main, h = F.col("top").isNull(), F.col("comp") == F.col("top"), F.xxhash64("id")
+    r = rows.join(long, "token", "left")
+    r = r.withColumn("block", F.when(whole, 0).when(main, F.col("minor") + F.pmod(h, F.col("major"))).otherwise(F.pmod(h, F.col("minor"))).cast("int"))
+    last = F.when(whole, 0).when(main, F.col("minor") - 1).otherwise(F.col("minor") + F.col("major") - 1)
+    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    r = r.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "pos", "comp", "prev", *SHORT_BITS)
+    return r.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+
+
+def _towards_hubs(pairs: DataFrame) -> DataFrame:
+    """The pairs with the member of more pairs as b."""
+    of = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).groupBy("u").count()
+    both = pairs.join(of.select(F.col("u").alias("a"), F.col("count").alias("na")), "a").join(of.select(F.col("u").alias("b"), F.col("count").alias("nb")), "b")
+    turn = F.col("na") > F.col("nb")
+    return both.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
 
 
 def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -307,44 +376,39 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sig = materialise(signatures(docs, frequent_shingles(docs, k), k, percent), "ngram-signatures")
     named = sig.where("doc_id IS NOT NULL AND n > 0")
-    sets = materialise(named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.first("parity").alias("parity")), "ngram-sets")
+    sets = materialise(named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("g1", "g2", "parity", *SHORT_BITS)]), "ngram-sets")
     groups = sets.groupBy("n", "g1", "g2").agg(F.min("rep").alias("gid"), F.count("*").alias("members"))
-    leaders = groups.select(F.col("gid").alias("doc_id"), "n", "g1", "g2")
-    postings = named.select("doc_id", "n", "g1", "g2", "prefix").join(leaders, ["doc_id", "n", "g1", "g2"], "left_semi").dropDuplicates(["doc_id", "n", "g1", "g2"])
+    # Leaders' prefixes; those alone with their prefix and size pass by without a shuffle.
+    of = ["n", "g1", "g2"]
+    again = named.groupBy(*of).count().where("count > 1").select(F.xxhash64(*of).alias("_key"))
+    rows = with_filter(named.select("doc_id", *of, "prefix").withColumn("_key", F.xxhash64(*of)), id_filter(again, "_key"), "_key").drop("_key")
+    led = rows.where("_may").join(groups.select(F.col("gid").alias("doc_id"), *of), ["doc_id", *of], "left_semi").dropDuplicates(["doc_id", *of])
+    postings = rows.where("NOT _may").select("doc_id", "n", "prefix").union(led.select("doc_id", "n", "prefix"))
     postings = postings.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"))
-    lists = postings.repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, id long, n int, pos int")
+    lists = postings.repartition("token").sortWithinPartitions("token").mapInArrow(_repeated(percent), "token long, id long, n int, pos int")
     lists = materialise(lists, "ngram-lists")
     # A group of several sets is a list of its own, under its fingerprint.
-    shared = sets.join(groups.where("members > 1"), ["n", "g1", "g2"]).select("gid", "rep", F.col("n").cast("int").alias("n"), F.xxhash64("g1", "g2", F.lit("group")).alias("token"))
+    shared = sets.join(groups.where("members > 1"), of).select("gid", "rep", F.col("n").cast("int").alias("n"), F.xxhash64("g1", "g2", F.lit("group")).alias("token"))
     shared = materialise(shared, "ngram-groups")
-    inner = shared.select("token", F.col("rep").alias("id"), "n", F.lit(0).alias("pos"))
+    short = sets.select(F.col("rep").alias("id"), F.col("n").cast("int").alias("n"), *SHORT_BITS)
     by_set = Window.partitionBy("id").orderBy("pos", "token")
-    before = F.coalesce(F.lag("token").over(by_set), F.bitwise_not("id")).alias("prev")
-    alone = F.bitwise_not("id").alias("prev")
-
-    def cells(rows: DataFrame, whole: bool) -> DataFrame:
-        """Rows under (token, lo, hi): a list in one cell, or a long one in cells of two of its blocks."""
-        long = rows.groupBy("token").count().where(F.col("count") > CELL).select("token", F.ceil(F.col("count") / CELL).cast("int").alias("blocks"))
-        r = rows.join(long, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if whole else F.col("block")
-        r = r.withColumn("other", other).select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "pos", "comp", "prev")
-        return r.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", F.xxhash64("id", "token"))
-
-    place, size = F.row_number().over(by_set), F.count("*").over(Window.partitionBy("id"))
-    first = lists.select("*", F.lit(0).cast("long").alias("prev"), place.alias("k"), size.alias("of")).where((F.col("k") <= FIRST) | (F.col("k") > F.col("of") - LAST)).drop("k", "of")
-    near = cells(first.union(inner.select("*", alone)).withColumn("comp", F.col("id")), False).mapInArrow(_pairs(NEIGHBOURS, percent), "a long, b long").distinct()
-    near = materialise(_closest(_close(near, sets, percent)), "ngram-near")
+    prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    first = lists.select("*", F.row_number().over(by_set).alias("k"), F.count("*").over(Window.partitionBy("id")).alias("of")).where((F.col("k") <= FIRST) | (F.col("k") > F.col("of") - LAST))
+    first = first.select("token", "id", "n", (prefix - F.col("of")).cast("long").alias("unshared"))
+    first = first.union(shared.select("token", F.col("rep").alias("id"), "n", F.lit(0).cast("long"))).join(short, ["id", "n"])
+    near = materialise(_closest_hubs(first, percent), "ngram-near")
     edges = materialise(verify(docs, near, k, percent), "ngram-edges")
     comp = components(edges)
     members = shared.select(F.col("gid").alias("id"), "rep")
-    rest = lists.join(members, "id", "left").select("token", F.coalesce("rep", "id").alias("id"), "n", "pos").union(inner.select("token", "id", "n", F.lit(-1)))
+    rest = lists.join(members, "id", "left").select("token", F.coalesce("rep", "id").alias("id"), "n", "pos").union(shared.select("token", "rep", "n", F.lit(-1)))
     rest = rest.join(comp, rest["id"] == comp["node"], "left").select("token", "id", "n", "pos", F.coalesce("comp", "id").alias("comp"))
     mixed = rest.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
-    rest = materialise(rest.join(mixed, "token", "left_semi").select("*", before), "ngram-rest")
-    rest = rest.withColumn("pos", F.greatest("pos", F.lit(0)))
-    far = cells(rest, True).mapInArrow(_pairs(0, percent), "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
-    far = materialise(_close(far, sets, percent).select("a", "b").distinct(), "ngram-far")
-    edges = edges.union(materialise(verify(docs, far, k, percent), "ngram-edges"))
+    before = F.coalesce(F.lag("token").over(by_set), F.bitwise_not("id")).alias("prev")
+    rest = rest.join(mixed, "token", "left_semi").select("*", before).join(short, ["id", "n"]).withColumn("pos", F.greatest("pos", F.lit(0)))
+    tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    far = _cells(materialise(rest, "ngram-rest")).mapInArrow(_pairs(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    far = materialise(_close(far, sets, percent), "ngram-far")
+    edges = edges.union(materialise(verify(docs, _towards_hubs(far), k, percent), "ngram-edges"))
     comp = components(edges)
     of = sets.select("n", "s1", "s2", "rep").join(comp, sets["rep"] == comp["node"], "left").select("n", "s1", "s2", F.coalesce("comp", "rep").alias("comp"))
     return sig.select("doc_id", "n", "s1", "s2").join(of, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))

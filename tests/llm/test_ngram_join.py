@@ -1,9 +1,13 @@
 import itertools
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
+
 import filigree.llm.ngram_join as m
 from filigree.llm.components import components
 from filigree.llm.keep_one import keep_one
+from tests.llm.conftest import edited, prose
 
 
 def shingles(text):
@@ -38,15 +42,39 @@ def key(r):
     return tuple(-1 if x is None else x for x in r)
 
 
-def test_against_brute_force(docs, rows):
+def test_against_brute_force(docs, rows, monkeypatch):
     want = sorted(map(key, brute(rows)))
-    for first, near, cell, local in ((4, 3, 4096, 4), (1, 1, 3, 1)):
-        old = m.FIRST, m.NEIGHBOURS, m.CELL, m.LOCAL_COUNT, m.LAST
-        m.FIRST, m.NEIGHBOURS, m.CELL, m.LOCAL_COUNT, m.LAST = first, near, cell, local, 0
-        try:
+    for setting in ({}, {"FIRST": 0, "LAST": 1, "CELL": 3, "LOCAL_COUNT": 1, "TOTAL_COUNT": 2, "SHARE": 2}, {"FIRST": 0, "LAST": 0, "CELL": 2, "SHARE": 1}):
+        with monkeypatch.context() as change:
+            for name, value in setting.items():
+                change.setattr(m, name, value)
             assert sorted(key((r.doc_id, r.n_shingles, r.component_id)) for r in m.link(docs).collect()) == want
-        finally:
-            m.FIRST, m.NEIGHBOURS, m.CELL, m.LOCAL_COUNT, m.LAST = old
+
+
+def test_many_near_copies_and_long_words(spark):
+    base = prose(1, 120)
+    rows = [(i, edited(base, i, 1 + i % 9)) for i in range(150)] + [(900, base)]
+    a, b = "v" * 4096, "w" * 4096
+    rows += [(200, f"{a}{b} x y z t u"), (201, f"{b}{a} x y z t u"), (202, " ".join([a + b] * 6)), (203, " ".join([b + a] * 6))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(tuple(r) for r in m.link(df).collect()) == sorted(brute(rows))
+
+
+def test_signatures_bound_the_difference():
+    r = random.Random(3)
+    for size in (1, 5, 200, 3000, 50_000):
+        x = {r.getrandbits(64) for _ in range(size)}
+        y = set(list(x)[: size * 9 // 10]) | {r.getrandbits(64) for _ in range(size // 5)}
+        values = [np.sort(np.array(list(s), np.uint64)) for s in (x, y)]
+        bits, off = m._parity(np.concatenate(values), np.cumsum([0, *map(len, values)]))
+        short = m._folded(bits, off)
+        assert sum(int(np.bitwise_count(f[0] ^ f[1])) for f in short) <= len(x ^ y)
+        a, b = bits[off[0] : off[1]], bits[off[1] : off[2]]
+        while len(a) > len(b):
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        while len(b) > len(a):
+            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+        assert int(np.bitwise_count(a ^ b).sum()) <= len(x ^ y)
 
 
 def test_empty(none):
