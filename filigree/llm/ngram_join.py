@@ -151,8 +151,35 @@ def _folded(bits: np.ndarray, boff: np.ndarray) -> list[np.ndarray]:
     return [np.array([np.bitwise_xor.reduce(bits[a + i : b : SHORT]) for a, b in zip(boff[:-1], boff[1:], strict=True)], np.uint64) for i in range(SHORT)]
 
 
+def _viable(tok: np.ndarray, n: np.ndarray, pos: np.ndarray, keep: np.ndarray, percent: int) -> np.ndarray:
+    """False for the rows to keep that no other row of their token passes the size and position filters with.
+
+    Looks at lists of up to 64 rows that do not reach a batch's ends; all others stay.
+    """
+    out = np.ones(len(tok), bool)
+    at = np.flatnonzero(keep)
+    if not len(at):
+        return out
+    t = tok[at]
+    starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    size = np.diff(np.append(starts, len(t)))
+    judged = (size <= 64) & (t[starts] != tok[0]) & (t[starts] != tok[-1])
+    stop = np.repeat(np.where(judged, starts + size, starts), size)
+    good = np.repeat(~judged, size)
+    live, d = np.arange(len(t)), 0
+    while True:
+        d += 1
+        live = live[live + d < stop[live]]
+        if not len(live):
+            break
+        a, b = _filtered(live, live + d, n[at], pos[at], percent)
+        good[a] = good[b] = True
+    out[at[~good]] = False
+    return out
+
+
 def _repeated(percent: int):
-    """Rows (token, id, n, pos) sorted by token, without those whose token occurs once or twice in sets too far apart."""
+    """Rows (token, id, n, pos) sorted by token, without those whose token occurs once, or in too unlike sets only."""
 
     def run(batches):
         held, done = None, None
@@ -168,9 +195,7 @@ def _repeated(percent: int):
             keep[1:] = same
             keep[:-1] |= same
             keep[0] |= done is not None and tok[0] == done
-            two = 1 + np.flatnonzero(same[1:-1] & ~same[:-2] & ~same[2:])
-            far = np.setdiff1d(two, _filtered(two, two + 1, n, pos, percent)[0], assume_unique=True)
-            keep[far] = keep[far + 1] = False
+            keep &= _viable(tok, n, pos, keep, percent)
             if not keep[-1]:
                 held = b.slice(b.num_rows - 1)
             done = int(tok[-1])
@@ -348,12 +373,13 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int = K, percent: int = PERCENT
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """Rows under (token, lo, hi): a list in one cell, a long one in cells of two blocks.
+    """Rows (with ``all``, the members of their list) under (token, lo, hi): a list in one cell, a long one in cells of two blocks.
 
     The blocks of a long list's largest component are met by the others' only.
     """
-    of = rows.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("all"), F.max("count").alias("most"), F.max_by("comp", "count").alias("top"))
-    long = of.where(F.col("all") > CELL).select("token", "top", F.ceil((F.col("all") - F.col("most")) / CELL).cast("int").alias("minor"), F.ceil(F.col("most") / CELL).cast("int").alias("major"))
+    of = rows.where(F.col("all") > CELL).groupBy("token", "comp").agg(F.count("*").alias("count"), F.first("all").alias("all"))
+    of = of.groupBy("token").agg(F.first("all").alias("all"), F.max("count").alias("most"), F.max_by("comp", "count").alias("top"))
+    long = of.select("token", "top", F.ceil((F.col("all") - F.col("most")) / CELL).cast("int").alias("minor"), F.ceil(F.col("most") / CELL).cast("int").alias("major"))
     whole, main, h = F.col("top").isNull(), F.col("comp") == F.col("top"), F.xxhash64("id")
     r = rows.join(long, "token", "left")
     r = r.withColumn("block", F.when(whole, 0).when(main, F.col("minor") + F.pmod(h, F.col("major"))).otherwise(F.pmod(h, F.col("minor"))).cast("int"))
@@ -395,16 +421,17 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     first = lists.select("*", F.row_number().over(by_set).alias("k"), F.count("*").over(Window.partitionBy("id")).alias("of")).where((F.col("k") <= FIRST) | (F.col("k") > F.col("of") - LAST))
     first = first.select("token", "id", "n", (prefix - F.col("of")).cast("long").alias("unshared"))
-    first = first.union(shared.select("token", F.col("rep").alias("id"), "n", F.lit(0).cast("long"))).join(short, ["id", "n"])
-    near = materialise(_closest_hubs(first, percent), "ngram-near")
+    first = first.join(short.withColumnRenamed("n", "size"), "id").where("n = size").drop("size")
+    first = first.union(shared.select("token", F.col("rep").alias("id"), "n", F.lit(0).cast("long").alias("unshared")).join(short, ["id", "n"]).select(*first.columns))
+    near = materialise(_close(_closest_hubs(first, percent), sets, percent), "ngram-near")
     edges = materialise(verify(docs, near, k, percent), "ngram-edges")
     comp = components(edges)
     members = shared.select(F.col("gid").alias("id"), "rep")
     rest = lists.join(members, "id", "left").select("token", F.coalesce("rep", "id").alias("id"), "n", "pos").union(shared.select("token", "rep", "n", F.lit(-1)))
     rest = rest.join(comp, rest["id"] == comp["node"], "left").select("token", "id", "n", "pos", F.coalesce("comp", "id").alias("comp"))
-    mixed = rest.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
+    mixed = rest.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("all")).where("x < y").select("token", "all")
     before = F.coalesce(F.lag("token").over(by_set), F.bitwise_not("id")).alias("prev")
-    rest = rest.join(mixed, "token", "left_semi").select("*", before).join(short, ["id", "n"]).withColumn("pos", F.greatest("pos", F.lit(0)))
+    rest = rest.join(mixed, "token").select("*", before).join(short.withColumnRenamed("n", "size"), "id").where("n = size").drop("size").withColumn("pos", F.greatest("pos", F.lit(0)))
     tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     far = _cells(materialise(rest, "ngram-rest")).mapInArrow(_pairs(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
     far = materialise(_close(far, sets, percent), "ngram-far")
