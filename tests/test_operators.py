@@ -124,6 +124,24 @@ def test_narratives():
     assert plain("a<br>b") == "a b"
 
 
+def test_cover_page_of_a_schedule():
+    text = "ACME HOLDINGS, INC. (Name of Issuer) Common Stock (Title of Class of Securities) 00101A100 (CUSIP Number) June 30, 2021 (Date of Event Which Requires Filing of this Statement) 1. Name of Reporting Person: Blue Fund, L.P. 2. Check the Appropriate Box (a) [ ] 7. Sole Voting Power 0 8. Shared Voting Power 12,345 9. Sole Dispositive Power 0 10. Shared Dispositive Power 12,345 11. Aggregate Amount Beneficially Owned by Each Reporting Person 12,345 13. Percent of Class Represented by Amount in Row (11) 6.25% 1. Name of Reporting Person: Red LLC 2. Check Item 3. Source and Amount of Funds. Working capital. Item 4. Purpose of Transaction. The persons seek talks with the board. Signature /s/ Ann Lee Name: Ann Lee"
+    r = disclosures.schedule13("13d")(text)[0]
+    assert (r["issuer_name"], r["security_title"], r["cusip"], r["event_date"]) == ("ACME HOLDINGS, INC", "Common Stock", "00101A100", "June 30, 2021")
+    assert r["reporting_persons"] == ["Blue Fund, L.P", "Red LLC"] and (r["sole_voting_power"], r["shared_voting_power"], r["beneficially_owned"], r["percent_of_class"]) == (0.0, 12345.0, 12345.0, 6.25)
+    assert r["purpose"].startswith("Item 4. Purpose of Transaction") and r["signatures"] == ["Ann Lee"] and r["activist_intent"]
+    assert disclosures.schedule13("13g")("")[0]["issuer_name"] is None
+
+
+def test_notice_and_headings_of_a_proxy():
+    notice = "Notice of Annual Meeting. Items of Business: 1. Election of Directors: Ann Lee, Bob Ray and Cy Young FOR 2. Ratification of the auditor FOR 3. Report on climate AGAINST and other business"
+    rows = disclosures.proposals(notice, [])
+    assert [(r["number"], r["category"], r["title"], r["recommendation"]) for r in rows] == [(1, "director_election", "Election of Directors", "FOR"), (2, "auditor_ratification", "Ratification of the auditor", "FOR"), (3, "other", "Report on climate", "AGAINST")]
+    assert disclosures.proxy(notice)[0]["director_nominees"] == ["Ann Lee", "Bob Ray", "Cy Young"]
+    rows = disclosures.proposals("Proposal No. 2: Approval of the 2024 stock plan. The Board recommends a vote FOR Proposal 2.", [])
+    assert [(r["number"], r["category"], r["recommendation"]) for r in rows] == [(2, "equity_plan", "FOR")]
+
+
 def test_long_name_inside_a_longer_one(spark):
     long = " ".join(f"word{i}" for i in range(14))
     a, b = spark.createDataFrame([(1, long)], "id long, name string"), spark.createDataFrame([(7, "first " + long + " last")], "other_id long, other_name string")
