@@ -13,20 +13,25 @@ that stays loses the single texts of low importance.
 Copies of one page count once; for headings, paragraphs and lists in an
 article, so do all pages with the article's first heading. Elements whose tag,
 role, class or id names a menu, header, footer, sidebar, notice, advert, form
-or reader comments are removed with all that they hold; where a page has an
-article element, the rest is taken from it.
+or reader comments are removed with all that they hold, but a branch with more
+than half of a page's text is never removed for its class or id. Where article
+and main elements hold at least half of the text that is left, it is taken from
+them. Digits in classes and ids count as one sign, so that numbered posts are
+one node of the tree.
 
 Defined results: null html counts as empty and gives an empty text; a null url
 belongs to the empty host; unclosed and stray tags, comments and scripts are
-read as browsers do in the common cases; repeated rows give repeated results;
-an empty table gives no rows; other columns are ignored.
+read as browsers do in the common cases; very long or broken pages take time in
+proportion to their length; repeated rows give repeated results; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
+from collections import Counter
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -40,7 +45,10 @@ LOW, PAGES = 0.2, 8
 #: Removed branches are broadcast up to this many rows (a few MB), and joined beyond.
 BROADCAST_ROWS = 50_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(script|style|noscript|template|textarea|iframe|svg|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile("[>\"']")
+#: Elements whose content is no markup, with the tags that end them.
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title")}
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _READ = frozenset("class id role hidden style".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,10 +57,13 @@ _SHORT = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _NOISE_TAGS = frozenset("nav footer aside form button select dialog menu".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_NOISE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|side-?bar|aside|footer|foot|masthead|topbar|top-bar|site-?header|page-?header|banner|ads?|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|cookies?|cookie-?\w+|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|login|share|sharing|social|comments?|commentlist|comment-?\w+|repl(?:y|ies)|respond|disqus|related|recommended|pagination|pager|toolbar|search|widget|skip)(?:$|[\s_-])",
-    re.I,
+_NOISE_WORDS = frozenset(
+    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside footer foot masthead topbar banner ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist reply replies respond disqus related recommended pagination pager toolbar search widget skip".split()
 )
+#: Parts of a class or id that say what sort of box it is; the word before them counts.
+_BOX_WORDS = frozenset("area bar block body box bottom button buttons container content form icons inner item items left link links list panel right section thread top wrap wrapper".split())
+#: Parts that turn a word around: a box beside a sidebar, without one, or a heading of it.
+_TURNS = frozenset("no not with without has have hide is of beside main".split())
 _MAIN = ("article", "main")
 #: Within an article, the copies of one article (the same first heading) count as one page for these.
 _PLAIN = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre figcaption td th".split())
@@ -66,11 +77,24 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _noise(tag: str, attrs: str, inside_main: bool) -> tuple[bool, str]:
-    """(the element is no part of the main text, its name in the style tree)."""
+def _noise_name(value: str) -> bool:
+    """One of the names is a noise word, or a compound that ends in one, boxes aside: site-nav, comment-list, but not no-sidebar or search-engine-history."""
+    for name in value.lower().split():
+        parts = [x for x in re.split("[-_]+", name) if x]
+        while len(parts) > 1 and (parts[-1] in _BOX_WORDS or parts[-1].isdigit()):
+            parts.pop()
+        two = "".join(parts[-2:])
+        if parts and _TURNS.isdisjoint(parts) and (parts[-1] in _NOISE_WORDS or two in ("sidebar", "topbar", "signup", "siteheader", "pageheader")):
+            return True
+    return False
+
+
+def _noise(tag: str, attrs: str, inside_main: bool) -> tuple[int, str]:
+    """(2 where the element is no part of the main text, 1 where only its class or id says so; its name in the style tree)."""
+    hard = tag in _NOISE_TAGS or (tag == "header" and not inside_main)
     if not attrs.strip():
-        return tag in _NOISE_TAGS or (tag == "header" and not inside_main), tag
-    name, noise = tag, tag in _NOISE_TAGS or (tag == "header" and not inside_main)
+        return 2 * hard, tag
+    name, soft = tag, False
     seen: set[str] = set()
     for m in _ATTR.finditer(attrs):
         key = m[1].lower()
@@ -79,60 +103,117 @@ def _noise(tag: str, attrs: str, inside_main: bool) -> tuple[bool, str]:
         seen.add(key)
         value = next((x for x in m.groups()[1:] if x is not None), "")
         if key == "role":
-            noise |= value.strip().lower() in _NOISE_ROLES
+            hard |= value.strip().lower() in _NOISE_ROLES
         elif key == "hidden":
-            noise = True
+            hard = True
         elif key == "style":
-            noise |= "display:none" in value.replace(" ", "").lower()
+            hard |= "display:none" in value.replace(" ", "").lower()
         else:
-            noise |= tag not in ("html", "body", *_MAIN) and bool(_NOISE_NAME.search(value))
-            noise |= tag == "article" and bool(re.search(r"comment|reply|advert", value, re.I))
-            name += ("." if key == "class" else "#") + ".".join(value.split())
-    return noise, name
+            soft |= tag not in ("html", "body", *_MAIN) and _noise_name(value)
+            hard |= tag == "article" and bool(re.search(r"comment|reply|advert", value, re.I))
+            # Numbers of posts and the like do not make nodes of their own.
+            name += ("." if key == "class" else "#") + ".".join(re.sub(r"\d+", "0", value).split())
+    return 2 if hard else int(soft), name if len(name) <= 120 else f"{tag}.~{zlib.crc32(name.encode()):08x}{len(name)}"
+
+
+def _tags(page: str):
+    """(start, end, closing, tag, attributes) of markup; tag is None for comments and the like. Time grows with the page, broken or not."""
+    at, size = 0, len(page)
+    unclosed: set[str] = set()
+    while (lt := page.find("<", at)) >= 0:
+        mark = page[lt + 1 : lt + 2]
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = size if end < 0 else end + 3
+            yield lt, at, False, None, ""
+            continue
+        if mark in ("!", "?"):
+            end = page.find(">", lt)
+            if end < 0:
+                return
+            at = end + 1
+            yield lt, at, False, None, ""
+            continue
+        name = _NAME.match(page, lt + 1 + (mark == "/"))
+        if not name:
+            at = lt + 1
+            continue
+        pos = begin = name.end()
+        while True:
+            stop = _STOP.search(page, pos)
+            if stop is None:
+                return  # no tag ends beyond this place
+            k = stop.start()
+            if page[k] == ">":
+                break
+            close = -1
+            if page[k] not in unclosed and page[pos:k].rstrip().endswith("="):
+                close = page.find(page[k], k + 1)
+                if close < 0:
+                    unclosed.add(page[k])
+            pos = max(k, close) + 1
+        at, tag = k + 1, name[0].lower()
+        if mark != "/" and tag in _RAW:
+            end = _RAW[tag].search(page, at)
+            at = end.end() if end else size
+            yield lt, at, False, None, ""
+            continue
+        yield lt, at, mark == "/", tag, page[begin:k]
 
 
 def blocks(page: str | None) -> list[tuple[str, bool, str]]:
-    """(path in the style tree, inside an article or main element, text) of the blocks, noise left out."""
+    """(path in the style tree, inside an article or main element, text) of the blocks, noise left out.
+
+    A branch that only its class or id calls noise stays if it holds more than
+    half of the text.
+    """
     page = page or ""
-    stack: list[tuple[str, str, bool]] = []  # tag, name, noise
-    out: list[tuple[str, bool, str]] = []
+    stack: list[tuple[str, str, int, bool]] = []  # tag, path, noise, inside
+    opened: Counter[str] = Counter()
+    soft: list[int] = []  # branches called noise by name that are open
+    branches = 0
+    out: list[tuple[str, bool, str, tuple[int, ...]]] = []
     held: list[str] = []
-    noisy = main = 0
-    where: tuple[str, bool] | None = None
+    noisy = 0
+    where: tuple[str, bool, tuple[int, ...]] | None = None
 
     def flush():
         nonlocal where
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text and where is not None:
-                out.append((*where, text))
+                out.append((where[0], where[1], text, where[2]))
             held.clear()
         where = None
 
     def pop():
-        nonlocal noisy, main
-        tag, _, noise = stack.pop()
-        noisy -= noise
-        main -= tag in _MAIN
+        nonlocal noisy
+        tag, _, noise, _ = stack.pop()
+        opened[tag] -= 1
+        noisy -= noise == 2
+        if noise == 1:
+            soft.pop()
+
+    def say(a: int, b: int):
+        nonlocal where
+        if a < b and not noisy:
+            if where is None:
+                where = (stack[-1][1], stack[-1][3], tuple(soft)) if stack else ("", False, ())
+            held.append(page[a:b])
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not noisy:
-            if where is None:
-                where = ("/".join(n for t, n, _ in stack if t not in _INLINE), main > 0)
-            held.append(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
+    for start, end, closing, tag, attrs in _tags(page):
+        say(at, start)
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[2]:
+        if closing:
             if tag == "br" or tag in _VOID:
                 held.append(" ") if held else None
                 continue
             if tag not in _INLINE:
                 flush()
-            if any(t == tag for t, _, _ in stack):
+            if opened[tag] > 0:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -148,30 +229,48 @@ def blocks(page: str | None) -> list[tuple[str, bool, str]]:
             if tag in _CLOSES_P or tag in _SHORT:
                 ends = _SHORT.get(tag, {"p"})
                 k = len(stack) - 1
-                while k >= 0 and (stack[k][0] in _INLINE or stack[k][0] in ends):
-                    k -= 1
-                if any(t in ends for t, _, _ in stack[k + 1 :]):
-                    while len(stack) > k + 1:
-                        pop()
-        noise, name = _noise(tag, m[4] or "", main > 0)
-        if m[4] and m[4].rstrip().endswith("/") and tag in _INLINE:
+                if any(opened[t] > 0 for t in ends):
+                    while k >= 0 and (stack[k][0] in _INLINE or stack[k][0] in ends):
+                        k -= 1
+                    if any(t in ends for t, *_ in stack[k + 1 :]):
+                        while len(stack) > k + 1:
+                            pop()
+        path, inside = (stack[-1][1], stack[-1][3]) if stack else ("", False)
+        noise, name = _noise(tag, attrs, inside)
+        if attrs.rstrip().endswith("/") and tag in _INLINE:
             continue
-        stack.append((tag, name, noise))
-        noisy += noise
-        main += tag in _MAIN
-    if at < len(page) and not noisy:
-        if where is None:
-            where = ("/".join(n for t, n, _ in stack if t not in _INLINE), main > 0)
-        held.append(page[at:])
+        inside |= tag in _MAIN
+        if tag not in _INLINE:
+            path = f"{path}/{name}" if path else name
+            if len(path) > 600:  # so that paths of deep trees stay short; the digest stands for the nodes above
+                path = f"{'article/' if inside else ''}~{hashlib.md5(path.encode()).hexdigest()}"
+        noise = 0 if noise == 1 and len(soft) >= 16 else noise
+        stack.append((tag, path, noise, inside))
+        opened[tag] += 1
+        noisy += noise == 2
+        if noise == 1:
+            branches += 1
+            soft.append(branches)
+    say(at, len(page))
     flush()
-    return out
+    below = Counter()
+    for *_, text, named in out:
+        for branch in named:
+            below[branch] += len(text)
+    total = sum(len(text) for *_, text, _ in out)
+    return [(p, inside, text) for p, inside, text, named in out if all(2 * below[b] > total for b in named)]
+
+
+def main_blocks(page: str | None) -> list[tuple[str, bool, str]]:
+    """The blocks of the page's article or main elements, where they hold at least as much text as the rest."""
+    found = blocks(page)
+    inside = sum(len(t) for _, i, t in found if i)
+    return [b for b in found if b[1]] if inside and 2 * inside >= sum(len(t) for *_, t in found) else found
 
 
 def extract(page: str | None, removed: frozenset[str] = frozenset()) -> str:
     """Main text of one page, without the removed branches of its host's style tree."""
-    found = blocks(page)
-    if any(inside for _, inside, _ in found):
-        found = [b for b in found if b[1]]
+    found = main_blocks(page)
     return "\n\n".join(t for p, _, t in found if not removed or (p not in removed and _text_key(p, _hash(t)) not in removed))
 
 
@@ -198,14 +297,14 @@ def style_tree(pages: DataFrame, low: float = LOW, least_pages: int = PAGES) ->
     def run(batch: pa.RecordBatch):
         rows = []
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            which, host, found = _hash(page or ""), host_of(url), blocks(page)
+            which, host, found = _hash(page or ""), host_of(url), main_blocks(page)
             title = next((_hash(t) for p, inside, t in found if inside and _HEADING.search(p)), which)
             rows += {(host, p, _hash(t), title if inside and _plain(p) else which, which, len(t)) for p, inside, t in found}
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "path", "content", "page", "copy", "chars"])
 
     seen = map_batches(pages.select("url", "html"), run, "host string, path string, content long, page long, copy long, chars long").distinct()
-    seen = seen.groupBy("host", "path", "content", "page").agg(F.sum("chars").alias("chars"))
+    seen = materialise(seen.groupBy("host", "path", "content", "page").agg(F.sum("chars").alias("chars")), "style-nodes")
     texts = seen.groupBy("host", "path", "content").agg(F.count("*").alias("c"), F.sum("chars").alias("chars"))
     # pages with the node: at least those of its most frequent text, at most the sum over texts; counted apart.
     nodes = seen.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count("*").alias("pages"))
