@@ -3,14 +3,19 @@
 Texts are folded first: lower case, homoglyphs of other scripts and full-width
 forms to Latin letters, invisible characters dropped, punctuation to spaces,
 digits and signs inside words to the letters they stand for. The lexicon holds
-word beginnings with weights, all found by one automaton in one pass; matches
-inside exception phrases do not count. The sum of weights, as it is and for
-the length of the text, gives a score between 0 and 1.
-
-The lexicon and the two score weights are learnt from a bounded sample of at
-most ``SAMPLE_ROWS`` labelled rows outside the held-out fold. A word beginning
-enters when it is far likelier in toxic rows and follows enough different
-words there, so that copies of one text give no entries.
+whole words, with their plain inflections, and stems, all with weights and all
+found by one automaton in one pass; matches inside exception phrases do not
+count. The sum of weights, as it is and for the length of the text, gives a
+score between 0 and 1.
+
+The lexicon, exceptions and the score weights are learnt from a bounded sample
+of at most ``SAMPLE_ROWS`` labelled rows outside the held-out fold. A word
+beginning is telling when it is far likelier in toxic rows and follows enough
+different words there, so that copies of one text give no entries. Of nested
+beginnings the longest that keeps nearly all their toxic rows enters, as a whole
+word if it is one: "path" gives way to "pathetic", while a stem stays one whose
+endings vary. Two-word phrases with an entry that several clean rows have and no
+toxic one become exceptions, beside those given.
 
 Defined results: null text counts as empty and gets the score of no match;
 rows with a null doc_id are in no fold and are scored; null labels are not
@@ -33,11 +38,17 @@ from pyspark.sql import functions as F
 
 from filigree.llm.frames import map_batches, table
 
-SAMPLE_ROWS, LEXICON = 8000, 600
+SAMPLE_ROWS = 8000
 #: Lengths of word beginnings, different preceding words, and log odds that an entry needs.
 SHORTEST, LONGEST, CONTEXTS, ODDS = 4, 9, 6, 3.0
+#: Share of a beginning's toxic rows that a longer one must keep to take its place.
+KEPT = 0.9
+#: Clean rows that make a phrase an exception.
+CLEAN_ROWS = 5
+#: Endings with which a whole word counts too.
+ENDINGS = ("", "s", "es", "ed", "ing", "ly")
 #: Phrases in which an entry is harmless, as folded words.
-EXCEPTIONS = ("clown fish", "trash can", "trash bin", "sore loser rule", "idiot proof", "stupid easy")
+EXCEPTIONS = ("clown fish", "trash can", "trash cans", "trash bin", "trash bag", "sore loser rule", "idiot proof", "stupid easy", "pond scum")
 
 #: Letters of other scripts that look like Latin ones.
 _LOOKS = {
@@ -73,7 +84,7 @@ def fold(text: str) -> str:
 
 @dataclass(frozen=True)
 class Model:
-    """Word beginnings with weights, exception phrases, and the three score weights."""
+    """Entries with weights (whole words end in a space, stems do not), exception phrases, and the three score weights."""
 
     lexicon: tuple[tuple[str, float], ...]
     exceptions: tuple[str, ...] = EXCEPTIONS
@@ -98,9 +109,11 @@ class Matcher:
 
         self.auto = ahocorasick.Automaton()
         for w, x in model.lexicon:
-            self.auto.add_word(f" {w}", (x, len(w)))
+            for form in [w.rstrip() + e + " " for e in ENDINGS] if w.endswith(" ") else [w]:
+                if f" {form}" not in self.auto:
+                    self.auto.add_word(f" {form}", (x, len(form)))
         for p in model.exceptions:
-            self.auto.add_word(f" {p}", (None, len(p)))
+            self.auto.add_word(f" {p} ", (None, len(p) + 1))
         self.empty = not len(self.auto)
         if not self.empty:
             self.auto.make_automaton()
@@ -111,12 +124,26 @@ class Matcher:
         n = f.count(" ") - 1 if len(f) > 2 else 0
         if self.empty:
             return 0.0, n
-        hits, safe = [], []
-        for end, (weight, size) in self.auto.iter(f):
-            (safe if weight is None else hits).append((end - size + 1, end, weight))
-        if safe:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in safe)]
-        return sum(h[2] for h in hits), n
+        return sum(weight for _, _, weight in self.hits(f)), n
+
+    def hits(self, folded: str) -> list[tuple[int, int, float]]:
+        """(start, end, weight) of the matches outside exceptions, in order; a place counts once, for its longest match."""
+        found: dict[int, tuple[int, float]] = {}
+        safe: list[tuple[int, int]] = []
+        for end, (weight, size) in self.auto.iter(folded):
+            if weight is None:
+                safe.append((end - size, end))
+            elif end > found.get(end - size, (-1, 0.0))[0]:
+                found[end - size] = end, weight
+        safe.sort()
+        out, k, reach = [], 0, -1
+        for start in sorted(found):
+            while k < len(safe) and safe[k][0] <= start:
+                reach = max(reach, safe[k][1])
+                k += 1
+            if found[start][0] > reach:
+                out.append((start, *found[start]))
+        return out
 
 
 def held_out(doc_id=None):
@@ -140,7 +167,7 @@ def _counts(batches):
             w = fold(text or "").split()
             mine = set()
             for prev, x in zip(["", *w], w, strict=False):
-                starts = {x[:n] for n in range(SHORTEST, min(LONGEST, len(x)) + 1)} | ({x} if len(x) < SHORTEST and len(x) > 2 else set())
+                starts = {x[:n] for n in range(SHORTEST, min(LONGEST, len(x)) + 1)} | ({f"{x} "} if len(x) > 2 else set())
                 mine |= starts
                 if toxic:
                     contexts.update((s, hash_word(prev)) for s in starts)
@@ -156,7 +183,43 @@ def hash_word(w: str) -> int:
     return zlib.crc32(w.encode())
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = LEXICON) -> Model:
+def entries(found: dict[str, tuple[float, int]]) -> dict[str, float]:
+    """Lexicon out of telling beginnings: text -> (weight, toxic rows); whole words end in a space."""
+    longer: dict[str, int] = {}
+    for w, (_, rows) in found.items():
+        for n in {len(w) - 1, min(len(w) - 1, LONGEST)}:
+            longer[w[:n]] = max(longer.get(w[:n], 0), rows)
+    out: dict[str, float] = {}
+    for w in sorted(found, key=lambda w: (len(w), w)):
+        weight, rows = found[w]
+        if not any(w[:n] in out for n in range(1, len(w))) and longer.get(w, 0) < KEPT * rows:
+            out[w] = weight
+    return out
+
+
+def _phrases(model: Model):
+    """(phrase, toxic rows, clean rows) of two words, one of them matched."""
+
+    def run(batch: pa.RecordBatch):
+        m = Matcher(model)
+        counts: dict[str, list[int]] = {}
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            f = fold(text or "")
+            mine = set()
+            for start, *_ in m.hits(f) if not m.empty else []:
+                end = f.index(" ", start + 1)
+                mine.add(f[f.rfind(" ", 0, start) + 1 : end] if start else "")
+                mine.add(f[start + 1 : max(f.find(" ", end + 1), end)])
+            for phrase in mine:
+                if " " in phrase:
+                    counts.setdefault(phrase, [0, 0])[not toxic] += 1
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1))], names=["phrase", "toxic", "clean"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     sample = _sample(docs, labels, rows)
     totals = {bool(r[0]): r[1] for r in sample.groupBy(F.col("toxic") > 0).count().collect()}
     t, c = totals.get(True, 0), totals.get(False, 0)
@@ -164,24 +227,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int =
         return Model(())
     found = sample.mapInArrow(_counts, "start string, context long, toxic long, clean long").groupBy("start").agg(F.countDistinct("context").alias("contexts"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (t + 1)) - F.log((F.col("clean") + 0.5) / (c + 1))
-    best = found.withColumn("odds", odds).where((F.col("contexts") >= CONTEXTS) & (F.col("odds") >= ODDS)).orderBy(F.desc("contexts"), "start").limit(20 * size).select("start", "odds", "contexts").collect()
-    entries: dict[str, float] = {}
-    for r in sorted(best, key=lambda r: (len(r[0]), r[0])):
-        # The shortest telling beginning stands for all longer ones.
-        if not any(r[0][:n] in entries for n in range(1, len(r[0]))):
-            entries[r[0]] = float(r[1])
-    order = {r[0]: r[2] for r in best}
-    lexicon = tuple(sorted(entries.items(), key=lambda x: (-order[x[0]], x[0]))[:size])
-    model = Model(lexicon)
+    best = found.withColumn("odds", odds).where((F.col("contexts") >= CONTEXTS) & (F.col("odds") >= ODDS)).select("start", "odds", "toxic").collect()  # of the bounded sample
+    lexicon = tuple(sorted(entries({r[0]: (float(r[1]), r[2]) for r in best}).items()))
+    clean = map_batches(sample, _phrases(Model(lexicon)), "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    learnt = [r[0] for r in clean.where((F.col("toxic") == 0) & (F.col("clean") >= CLEAN_ROWS)).select("phrase").collect()]
+    exceptions = tuple(sorted({*EXCEPTIONS, *learnt}))
+    model = Model(lexicon, exceptions)
 
     def figures(batch: pa.RecordBatch):
         m = Matcher(model)
         x = [m.total(s) for s in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.float64()), pa.array([n for _, n in x], pa.int64()), batch.column(1)], names=["total", "n", "toxic"])
 
-    got = map_batches(sample, figures, "total double, n long, toxic int").orderBy("total", "n", "toxic").toArrow()
+    got = map_batches(sample, figures, "total double, n long, toxic int").toArrow().sort_by([("total", "ascending"), ("n", "ascending"), ("toxic", "ascending")])
     bias, a, b = logistic(features(got["total"].to_numpy(), got["n"].to_numpy()), (got["toxic"].to_numpy() > 0).astype(float))
-    return Model(lexicon, EXCEPTIONS, bias, a, b)
+    return Model(lexicon, exceptions, bias, a, b)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float, float]:
