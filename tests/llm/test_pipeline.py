@@ -1,7 +1,8 @@
 import corpus_pipeline as c
+import pyarrow as pa
 import pyarrow.parquet as pq
 
-from filigree.llm.decontamination import Benchmark
+from filigree.llm.decontamination import Item, Templates
 from filigree.llm.toxicity import _scores, fit
 from filigree.llm.words import text_slices
 
@@ -35,8 +36,9 @@ def test_run_against_stages_by_hand(spark, folder):
     for i, t in left:
         if i is None or comp[i] == i:
             kept[(i, t)] = 1
-    bench = Benchmark([5], [spark.read.parquet(folder + "/benchmark.parquet").first().text])
-    clean = {k for k in kept if not [x for x in bench.find(next(text_slices(__import__("pyarrow").array([k[1] or ""])))[2], 0.6) if x[6]]}
+    item = Item(spark.read.parquet(folder + "/benchmark.parquet").first().text)
+    found = {k: item.find(Templates(next(text_slices(pa.array([k[1] or ""])))[2]), 0, 0.6) for k in kept}
+    clean = {k for k, f in found.items() if not (f and f[4])}
     assert (900, None) not in clean and not any(i in (900, 901) for i, _ in clean)
     out = c.run(spark, folder).collect()
     assert {(r.doc_id, r.text) for r in out} <= clean
