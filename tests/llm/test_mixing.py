@@ -43,6 +43,40 @@ def test_rows(docs, rows, none):
     assert mix_report(none).count() == 0
 
 
+def key_order(out):
+    """By hand: in each source, by ascending key, the prefix nearest to what whole epochs leave."""
+    by = defaultdict(list)
+    for r in out:
+        by[(r.source_size, r.target)].append((r.key, r.doc_id, r.size, r.copies))
+    for (size, target), rows in by.items():
+        epochs = min(3, int(target / size + 1e-9)) if size else 0
+        extra = sorted({(k, i, sum(x[2] for x in rows if x[:2] == (k, i))) for k, i, n, _ in rows if n})
+        prefix, sums = 0, [0]
+        for *_, n in extra:
+            sums.append(prefix := prefix + n)
+        best = min(abs(s - (target - epochs * size)) for s in sums)
+        taken = {(k, i) for k, i, n, c in rows if n and c == epochs + 1}
+        assert taken == {e[:2] for e in extra[: len(taken)]}
+        assert math.isclose(abs(sums[len(taken)] - (target - epochs * size)), best, abs_tol=1e-6)
+
+
+def test_documents_are_taken_in_key_order(spark, docs, monkeypatch):
+    odd = [(i, ("a$ " if i % 3 else "wo rd ") * (1 + i * 7 % 40), "abcd"[i * i % 4 if i % 5 else 0]) for i in range(600)]
+    df = spark.createDataFrame(odd, "doc_id long, text string, source string").repartition(4)
+    for size, split in ((2000, 64), (20, 4), (1, 2)):
+        monkeypatch.setattr("filigree.llm.mixing.RANGE_DOCS", size)
+        monkeypatch.setattr("filigree.llm.mixing.SPLIT", split)
+        key_order(mix_report(df).collect())
+        assert len({tuple(r) for r in mix_report(df).collect()} ^ {tuple(r) for r in mix_report(df.repartition(2)).collect()}) == 0
+    key_order(mix_report(docs.where("doc_id IS NOT NULL")).collect())
+
+
+def test_equal_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(None, f"t{i} x", "a") for i in range(100)] + [(7, "same text", "a")] * 50 + [(i, "u v", "b") for i in range(300)], "doc_id long, text string, source string")
+    out = mix_report(df).collect()
+    assert len({r.key for r in out if r.doc_id is None}) == 100 and len({r.copies for r in out if r.doc_id == 7}) == 1
+
+
 def test_mix_repeats_rows(docs):
     want = {(r.doc_id, r.size, r.copies) for r in mix_report(docs).collect()}
     got = mix(docs)
