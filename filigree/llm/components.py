@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.llm.frames import materialise
+from filigree.llm.frames import map_arrow, materialise
 
 
 #: Edges that one task contracts: some seconds, and less than 100 MB.
@@ -58,7 +58,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``edges`` (two long columns); comp is the smallest node reachable."""
     a, b = edges.columns
     parts = -(-edges.count() // TASK_EDGES)
-    e = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).coalesce(max(parts, 1)).mapInArrow(_contract, "u long, v long"), "forest")
+    e = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).coalesce(max(parts, 1)).transform(map_arrow, _contract, "u long, v long"), "forest")
     seen = None
     while parts > 1:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

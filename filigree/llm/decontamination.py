@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filigree.llm.frames import id_filter, map_batches, materialise, table, with_filter
+from filigree.llm.frames import id_filter, map_arrow, map_batches, materialise, table, with_filter
 from filigree.llm.words import Texts, mix64, text_slices, windows, word_hashes, words
 
 K = 5
@@ -341,7 +341,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFrame
                     out.append((key, item, *found))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()))], names=["digest", "item", *[f.split()[0] for f in SCHEMA.split(", ")[2:]]])
 
-    found = rows.repartition("digest").sortWithinPartitions("digest", F.col("item").asc_nulls_first()).mapInArrow(run, "digest string, item string, " + SCHEMA.split(", ", 2)[2])
+    found = rows.repartition("digest").sortWithinPartitions("digest", F.col("item").asc_nulls_first()).transform(map_arrow, run, "digest string, item string, " + SCHEMA.split(", ", 2)[2])
     return materialise(found, "judged").join(named.select("item", "item_id"), "item").drop("item")
 
 

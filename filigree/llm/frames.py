@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,11 +37,49 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/filigree-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of the batches that go to Python workers while scratch tables are written.
+BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Bounds the Arrow batches of the jobs inside, so that long texts do not add up in executors."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _release() -> None:
+    """Gives freed memory of this worker back to the system: workers stay for the next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # no glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers release their memory at the end of a task."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(run, schema)
+
+
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _written:
@@ -59,7 +99,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
             if b.num_rows:
                 yield from fn(b)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def null_text(col: str = "text"):

@@ -41,14 +41,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filigree.llm.components import components
-from filigree.llm.frames import id_filter, map_batches, materialise, table, with_filter
+from filigree.llm.frames import id_filter, map_arrow, map_batches, materialise, small_batches, table, with_filter
 from filigree.llm.words import mix64, shingle_sets, text_slices
 
 K, PERCENT = 5, 75
 #: Frequent shingles that order the prefixes: local and total count, and how many at most.
 LOCAL_COUNT, TOTAL_COUNT, ORDERED = 4, 8, 1 << 17
 #: Shingles counted together in a task.
-COUNTED = 2_000_000
+COUNTED = 1_000_000
 #: Rarest and most frequent tokens of a set whose lists' hubs step 4 reads.
 FIRST, LAST = 3, 3
 #: Members of a list compared in one piece.
@@ -87,8 +87,9 @@ def frequent_shingles(docs: DataFrame, k: int = K) -> tuple[np.ndarray, np.ndarr
         if held:
             yield flush()
 
-    found = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= TOTAL_COUNT)
-    rows = found.orderBy(F.desc("c"), "h").limit(ORDERED).toArrow()
+    found = docs.select("text").transform(map_arrow, run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= TOTAL_COUNT)
+    with small_batches(docs.sparkSession):
+        rows = found.orderBy(F.desc("c"), "h").limit(ORDERED).toArrow()
     h = rows["h"].to_numpy().view(np.uint64)
     o = np.argsort(h)
     return h[o], rows["c"].to_numpy()[o]
@@ -369,7 +370,7 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int = K, percent: int = PERCENT
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     rows = left.union(right).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.transform(map_arrow, run, "a long, b long").distinct()
 
 
 def _cells(rows: DataFrame) -> DataFrame:
@@ -411,7 +412,7 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     led = rows.where("_may").join(groups.select(F.col("gid").alias("doc_id"), *of), ["doc_id", *of], "left_semi").dropDuplicates(["doc_id", *of])
     postings = rows.where("NOT _may").select("doc_id", "n", "prefix").union(led.select("doc_id", "n", "prefix"))
     postings = postings.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"))
-    lists = postings.repartition("token").sortWithinPartitions("token").mapInArrow(_repeated(percent), "token long, id long, n int, pos int")
+    lists = postings.repartition("token").sortWithinPartitions("token").transform(map_arrow, _repeated(percent), "token long, id long, n int, pos int")
     lists = materialise(lists, "ngram-lists")
     # A group of several sets is a list of its own, under its fingerprint.
     shared = sets.join(groups.where("members > 1"), of).select("gid", "rep", F.col("n").cast("int").alias("n"), F.xxhash64("g1", "g2", F.lit("group")).alias("token"))
@@ -433,7 +434,7 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     before = F.coalesce(F.lag("token").over(by_set), F.bitwise_not("id")).alias("prev")
     rest = rest.join(mixed, "token").select("*", before).join(short.withColumnRenamed("n", "size"), "id").where("n = size").drop("size").withColumn("pos", F.greatest("pos", F.lit(0)))
     tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    far = _cells(materialise(rest, "ngram-rest")).mapInArrow(_pairs(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    far = _cells(materialise(rest, "ngram-rest")).transform(map_arrow, _pairs(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
     far = materialise(_close(far, sets, percent), "ngram-far")
     edges = edges.union(materialise(verify(docs, _towards_hubs(far), k, percent), "ngram-edges"))
     comp = components(edges)

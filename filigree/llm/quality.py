@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm.frames import map_batches, table
+from filigree.llm.frames import map_arrow, map_batches, small_batches, table
 from filigree.llm.words import SAME, Texts, text_slices, windows, word_hashes, words
 
 #: The sample that orders the rules: share of all rows, and bytes of text that one task measures at most.
@@ -180,8 +180,9 @@ def sampled_order(docs: DataFrame) -> list[str]:
                     for name, (rejected, seconds) in measure(t).items():
                         yield pa.RecordBatch.from_pydict({"rule": [name], "rejected": pa.array([rejected], pa.int64()), "seconds": [seconds]})
 
-    sums = docs.select("text").sample(False, SAMPLE_SHARE, 9).mapInArrow(run, "rule string, rejected long, seconds double").groupBy("rule").agg(F.sum("rejected"), F.sum("seconds"))
-    return order_rules({name: (0, 0.0) for name in RULES} | {r[0]: (r[1], r[2]) for r in sums.collect()})
+    sums = docs.select("text").sample(False, SAMPLE_SHARE, 9).transform(map_arrow, run, "rule string, rejected long, seconds double").groupBy("rule").agg(F.sum("rejected"), F.sum("seconds"))
+    with small_batches(docs.sparkSession):
+        return order_rules({name: (0, 0.0) for name in RULES} | {r[0]: (r[1], r[2]) for r in sums.collect()})
 
 
 def _sub(t: Texts, keep: np.ndarray) -> Texts:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm.frames import id_filter, map_batches, materialise, null_text, table, with_filter
+from filigree.llm.frames import map_arrow, id_filter, map_batches, materialise, null_text, table, with_filter
 from filigree.llm.words import _BYTE, Texts, mix64, text_slices
 
 LENGTH, GRAM = 200, 40
@@ -314,7 +314,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     contexts = map_batches(texts.join(spots, "doc").select("doc", "text", "spots"), cut, "gram long, doc long, pos int, a int, b int, context binary, m long")
     contexts = materialise(contexts, "contexts")
-    near = contexts.where(F.col("m") <= CELL).repartition("gram").mapInArrow(_mark, "doc long, a long, b long")
+    near = contexts.where(F.col("m") <= CELL).repartition("gram").transform(map_arrow, _mark, "doc long, a long, b long")
 
     def rows_of(batch: pa.RecordBatch):
         for s in range(0, batch.num_rows, BATCH):
@@ -366,7 +366,7 @@ def repeat_report(docs: DataFrame) -> DataFrame:
             if b.num_rows:
                 yield from _stretches(*(b.column(i).to_numpy() for i in range(3)))
 
-    spans = spans.repartition("doc").mapInArrow(merge, "doc long, a long, b long")
+    spans = spans.repartition("doc").transform(map_arrow, merge, "doc long, a long, b long")
     spans = materialise(spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "repeats-merged")
     keyed = with_filter(docs.withColumn("doc", _row_key()), id_filter(spans.select("doc"), "doc"), "doc")
     t = null_text().cast("binary")

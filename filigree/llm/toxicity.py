@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm.frames import map_batches, table
+from filigree.llm.frames import map_arrow, map_batches, small_batches, table
 
 SAMPLE_ROWS = 8000
 #: Lengths of word beginnings, different preceding words, and log odds that an entry needs.
@@ -220,12 +220,17 @@ def _phrases(model: Model):
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+    with small_batches(docs.sparkSession):
+        return _fit(docs, labels, rows)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, rows: int) -> Model:
     sample = _sample(docs, labels, rows)
     totals = {bool(r[0]): r[1] for r in sample.groupBy(F.col("toxic") > 0).count().collect()}
     t, c = totals.get(True, 0), totals.get(False, 0)
     if not t or not c:
         return Model(())
-    found = sample.mapInArrow(_counts, "start string, context long, toxic long, clean long").groupBy("start").agg(F.countDistinct("context").alias("contexts"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = sample.transform(map_arrow, _counts, "start string, context long, toxic long, clean long").groupBy("start").agg(F.countDistinct("context").alias("contexts"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (t + 1)) - F.log((F.col("clean") + 0.5) / (c + 1))
     best = found.withColumn("odds", odds).where((F.col("contexts") >= CONTEXTS) & (F.col("odds") >= ODDS)).select("start", "odds", "toxic").collect()  # of the bounded sample
     lexicon = tuple(sorted(entries({r[0]: (float(r[1]), r[2]) for r in best}).items()))

@@ -17,8 +17,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
-_HASH_BLOCK = 1 << 20
+CHUNK_BYTES = 1 << 20
+_HASH_BLOCK = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
