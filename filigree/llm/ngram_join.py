@@ -14,8 +14,9 @@ n - ceil(t * n) + 1. The steps:
    one with the fewest unshared prefix tokens (the text that copies were made
    of has none) and one by hash. Of the hubs of its rarest and most frequent
    tokens each set takes the closest by signature; those pairs are verified on
-   whole texts, and linked sets joined into components. So a group of k near
-   copies costs about k pairs.
+   whole texts, and linked sets joined into components. Sets look again, in
+   lists that still hold several components, for the hubs of most links. So a
+   group of k near copies costs about k pairs.
 5. All remaining pairs of a list, of its groups' members, in different
    components pass the size and position filters and a bound on the overlap
    from parity signatures before they become rows, once for each run of common
@@ -51,6 +52,8 @@ LOCAL_COUNT, TOTAL_COUNT, ORDERED = 4, 8, 1 << 17
 COUNTED = 1_000_000
 #: Rarest and most frequent tokens of a set whose lists' hubs step 4 reads.
 FIRST, LAST = 3, 3
+#: Times that sets look for a hub of another component; later ones prefer the hubs of most links.
+ROUNDS = 3
 #: Members of a list compared in one piece.
 CELL = 4096
 #: Words of 64 bits of a signature's shortest form, and of its longest.
@@ -317,15 +320,17 @@ def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(differ <= _slack_sql(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
 
 
-def _closest_hubs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each set of the rows (token, id, n, short signature, unshared) with the closest hub b of its lists, if one may be near enough."""
-    me = F.struct("id", "n", *SHORT_BITS)
-    hubs = rows.groupBy("token").agg(F.min(F.struct("unshared", F.xxhash64("id").alias("h"), me.alias("me")))["me"].alias("one"), F.min(F.struct(F.xxhash64("id", "token").alias("h"), me.alias("me")))["me"].alias("two"))
-    met = rows.join(hubs, "token").select("id", "n", *SHORT_BITS, F.explode(F.array("one", "two")).alias("hub")).where("id <> hub.id")
+def _closest_hubs(rows: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b): each set of the rows (token, id, n, short signature, unshared, comp, links) with the closest hub b of its lists that is in another component, was not tried, and may be near enough."""
+    me = F.struct("id", "n", "comp", *SHORT_BITS)
+    hubs = rows.groupBy("token").agg(F.min(F.struct((-F.col("links")).alias("l"), "unshared", F.xxhash64("id").alias("h"), me.alias("me")))["me"].alias("one"), F.min(F.struct(F.xxhash64("id", "token").alias("h"), me.alias("me")))["me"].alias("two"))
+    met = rows.join(hubs, "token").select("id", "n", "comp", *SHORT_BITS, F.explode(F.array("one", "two")).alias("hub")).where("comp <> hub.comp")
     differ = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"hub.{f}"))) for f in SHORT_BITS), F.lit(0))
     met = met.where(differ <= _slack_sql(F.col("n"), F.col("hub.n"), percent)).where(F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
-    best = met.groupBy("id").agg(F.min_by("hub.id", F.struct(differ / (F.col("n") + F.col("hub.n")), F.xxhash64("hub.id"), "hub.id")).alias("b"))
-    return best.select(F.col("id").alias("a"), "b")
+    met = met.select(F.col("id").alias("a"), F.col("hub.id").alias("b"), (differ / (F.col("n") + F.col("hub.n"))).alias("gap"))
+    if tried is not None:
+        met = met.join(tried, ["a", "b"], "left_anti")
+    return met.groupBy("a").agg(F.min_by("b", F.struct("gap", F.xxhash64("b"), "b")).alias("b"))
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -424,9 +429,19 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     first = first.select("token", "id", "n", (prefix - F.col("of")).cast("long").alias("unshared"))
     first = first.join(short.withColumnRenamed("n", "size"), "id").where("n = size").drop("size")
     first = first.union(shared.select("token", F.col("rep").alias("id"), "n", F.lit(0).cast("long").alias("unshared")).join(short, ["id", "n"]).select(*first.columns))
-    near = materialise(_close(_closest_hubs(first, percent), sets, percent), "ngram-near")
-    edges = materialise(verify(docs, near, k, percent), "ngram-edges")
-    comp = components(edges)
+    first = materialise(first, "ngram-first")
+    near = edges = comp = None
+    for _ in range(ROUNDS):
+        if comp is None:
+            rows = first.select("*", F.col("id").alias("comp"), F.lit(0).cast("long").alias("links"))
+        else:
+            links = edges.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("links"))
+            rows = first.join(comp.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left").withColumn("comp", F.coalesce("comp", "id")).withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
+        found = materialise(_closest_hubs(rows, near, percent), "ngram-hubs")
+        linked = materialise(verify(docs, _close(found, sets, percent), k, percent), "ngram-edges")
+        near = found if near is None else near.union(found)
+        edges = linked if edges is None else edges.union(linked)
+        comp = components(edges)
     members = shared.select(F.col("gid").alias("id"), "rep")
     rest = lists.join(members, "id", "left").select("token", F.coalesce("rep", "id").alias("id"), "n", "pos").union(shared.select("token", "rep", "n", F.lit(-1)))
     rest = rest.join(comp, rest["id"] == comp["node"], "left").select("token", "id", "n", "pos", F.coalesce("comp", "id").alias("comp"))
