@@ -343,7 +343,9 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int = K, percent: int = PERCENT
 
     Texts a are sent to their b, at most ``SHARE`` to one of its shares or so, so
     that a text of many pairs is read once for a share and none meets all in one task.
+    The pairs are written first: four branches of the plan read them.
     """
+    pairs = materialise(pairs, "ngram-pairs")
     parts = pairs.groupBy("b").count().where(F.col("count") > SHARE).select("b", F.ceil(F.col("count") / SHARE).alias("parts"))
     dealt = pairs.join(parts, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1)))).select("a", "b", "part")
     hubs = dealt.select("b", "part").distinct()
