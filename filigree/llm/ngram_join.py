@@ -12,7 +12,7 @@ n - ceil(t * n) + 1. The steps:
    are dropped, and lists of two that the size and position filters part.
 4. Hubs: each list names two members that the others are compared with, the
    one with the fewest unshared prefix tokens (the text that copies were made
-   of has none) and one by hash. Of the hubs of its rarest and most frequent
+   of has none) and one by hash, another each round. Of the hubs of its rarest and most frequent
    tokens each set takes the closest by signature; those pairs are verified on
    whole texts, and linked sets joined into components. Sets look again, in
    lists that still hold several components, for the hubs of most links. So a
@@ -320,10 +320,10 @@ def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(differ <= _slack_sql(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
 
 
-def _closest_hubs(rows: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
+def _closest_hubs(rows: DataFrame, tried: DataFrame | None, turn: int, percent: int) -> DataFrame:
     """(a, b): each set of the rows (token, id, n, short signature, unshared, comp, links) with the closest hub b of its lists that is in another component, was not tried, and may be near enough."""
     me = F.struct("id", "n", "comp", *SHORT_BITS)
-    hubs = rows.groupBy("token").agg(F.min(F.struct((-F.col("links")).alias("l"), "unshared", F.xxhash64("id").alias("h"), me.alias("me")))["me"].alias("one"), F.min(F.struct(F.xxhash64("id", "token").alias("h"), me.alias("me")))["me"].alias("two"))
+    hubs = rows.groupBy("token").agg(F.min(F.struct((-F.col("links")).alias("l"), "unshared", F.xxhash64("id").alias("h"), me.alias("me")))["me"].alias("one"), F.min(F.struct(F.xxhash64("id", "token", F.lit(turn)).alias("h"), me.alias("me")))["me"].alias("two"))
     met = rows.join(hubs, "token").select("id", "n", "comp", *SHORT_BITS, F.explode(F.array("one", "two")).alias("hub")).where("comp <> hub.comp")
     differ = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"hub.{f}"))) for f in SHORT_BITS), F.lit(0))
     met = met.where(differ <= _slack_sql(F.col("n"), F.col("hub.n"), percent)).where(F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
@@ -433,13 +433,13 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     first = first.union(shared.select("token", F.col("rep").alias("id"), "n", F.lit(0).cast("long").alias("unshared")).join(short, ["id", "n"]).select(*first.columns))
     first = materialise(first, "ngram-first")
     near = edges = comp = None
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         if comp is None:
             rows = first.select("*", F.col("id").alias("comp"), F.lit(0).cast("long").alias("links"))
         else:
             links = edges.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("links"))
             rows = first.join(comp.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left").withColumn("comp", F.coalesce("comp", "id")).withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
-        found = materialise(_closest_hubs(rows, near, percent), "ngram-hubs")
+        found = materialise(_closest_hubs(rows, near, turn, percent), "ngram-hubs")
         linked = materialise(verify(docs, _close(found, sets, percent), k, percent), "ngram-edges")
         near = found if near is None else near.union(found)
         edges = linked if edges is None else edges.union(linked)
