@@ -71,3 +71,21 @@ def test_queries_against_sql(spark):
         got = df.select(*cols).toPandas()
         assert sorted(want.columns) == cols and canon(got.astype(object).where(got.notna(), None).values.tolist()) == canon(want[cols].astype(object).where(want[cols].notna(), None).values.tolist()), name
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_form_queries_against_sql(spark):
+    import collections
+
+    import duckdb
+
+    from filigree.plans.forms import ORACLES, QUERIES
+
+    db = duckdb.connect()
+    for t in ("nation", "customer", "supplier", "part", "orders"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    for name, query in QUERIES.items():
+        df, expected = query(spark, DATA), db.sql(ORACLES[name])
+        cols = sorted(df.columns)
+        assert sorted(expected.columns) == cols, name
+        rows = collections.Counter(repr(tuple(r)) for r in df.select(*cols).collect())
+        assert rows == collections.Counter(repr(r) for r in expected.project(", ".join(f'"{c}"' for c in cols)).fetchall()), name
