@@ -80,7 +80,23 @@ def foreign_issuers(s, d):
     return r.select("c_custkey", "exchange", F.array_join("event_signals", ",").alias("event_signals"))
 
 
-QUERIES = {f.__name__: f for f in (inline_facts, linkbase_edges, fund_holdings, form13f_summary, sections, prospectus, foreign_issuers)}
+def schedule13(s, d):
+    """An ownership schedule a customer, with the rows of the printed cover."""
+    doc = _text("<p>Part {c_custkey} Corp (Name of Issuer)</p><p>1. Name of Reporting Person: Holder {c_custkey} LP</p><p>7. Sole Voting Power: {n},000</p><p>8. Shared Voting Power: 0</p><p>9. Sole Dispositive Power: {n},000</p><p>10. Shared Dispositive Power: 5</p><p>11. Aggregate Amount Beneficially Owned by Each Reporting Person: {n},005</p><p>13. Percent of Class Represented by Amount in Row (11): {k}.5%</p><p>Item 4. Purpose of Transaction. Holder {c_custkey} means to talk to the board.</p><p>/s/ Ann Lee</p>", n=F.col("c_nationkey") + 100, k=F.col("c_nationkey") + 5)
+    r = disclosures.records(_table(s, d, "customer").select("c_custkey", doc.alias("content")), ["c_custkey"], "13d")
+    return r.select("c_custkey", "filing_type", "activist_intent", "issuer_name", F.array_join("reporting_persons", "|").alias("reporting_persons"), "sole_voting_power", "shared_voting_power", "sole_dispositive_power", "shared_dispositive_power", "beneficially_owned", "percent_of_class", F.array_join("signatures", "|").alias("signatures"))
+
+
+def proxy_proposals(s, d):
+    """A proxy statement a supplier: a table of proposals with the board's votes."""
+    row = lambda n, t, v: f"<tr><td>{n}</td><td>{t}</td><td>{v}</td></tr>"
+    rows = row("No", "Proposal", "Vote") + row(1, "Election of Directors", "FOR") + row(2, "Ratify the auditor of plant {s_nationkey}", "FOR") + row(3, "Advisory vote on executive compensation", "{vote}") + row(4, "Report on item {s_suppkey}", "AGAINST")
+    doc = _text(f"<p>The annual meeting is on May 5, 2024.</p><table>{rows}</table>", vote=F.when(F.col("s_suppkey") % 2 == 0, "FOR").otherwise("AGAINST"))
+    r = disclosures.records(_table(s, d, "supplier").select("s_suppkey", doc.alias("content")), ["s_suppkey"], "proxy")
+    return r.select("s_suppkey", "meeting_date", "has_say_on_pay", F.explode("proposals").alias("p")).select("s_suppkey", "meeting_date", "has_say_on_pay", "p.*")
+
+
+QUERIES = {f.__name__: f for f in (inline_facts, linkbase_edges, fund_holdings, form13f_summary, sections, prospectus, foreign_issuers, schedule13, proxy_proposals)}
 
 ORACLES = {
     "inline_facts": """SELECT o_orderkey, 0 AS pos, 'us-gaap:Revenues' AS name, 'us-gaap' AS namespace, 'Revenues' AS local_name, 'c' || o_custkey AS context_ref, 'USD' AS unit_ref, 3 AS scale, '-3' AS decimals, CASE WHEN o_orderkey % 3 = 0 THEN '-' END AS sign,
@@ -93,4 +109,8 @@ UNION ALL SELECT o_orderkey, 1, 'dei:EntityRegistrantName', 'dei', 'EntityRegist
 SELECT o_orderkey, '1A' AS item, 'Risk Factors' AS title, strlen(a) AS start_offset, strlen(a) + strlen(b) + 1 AS end_offset, left(b, 40) AS content, strlen(b) AS byte_length, 40::BIGINT AS returned_bytes, true AS truncated FROM x""",
     "prospectus": "SELECT p_partkey, p_partkey % 2 = 0 AS mentions_ipo, CASE WHEN p_partkey % 3 = 0 THEN 'NYSE American' ELSE 'Nasdaq Capital Market' END AS exchange, '$' || p_size || '.00 and $' || (p_size + 2) || '.50' AS price_range, (p_size + 100) || ',000 shares' AS shares_offered, 0 AS tables FROM part",
     "foreign_issuers": "SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'London Stock Exchange' ELSE 'Toronto Stock Exchange' END AS exchange, CASE c_custkey % 3 WHEN 0 THEN 'press_release,dividend' WHEN 1 THEN 'acquisition' ELSE '' END AS event_signals FROM customer",
+    "schedule13": """SELECT c_custkey, '13d' AS filing_type, true AS activist_intent, 'Part ' || c_custkey || ' Corp' AS issuer_name, 'Holder ' || c_custkey || ' LP' AS reporting_persons, (c_nationkey + 100) * 1000::DOUBLE AS sole_voting_power, 0::DOUBLE AS shared_voting_power,
+  (c_nationkey + 100) * 1000::DOUBLE AS sole_dispositive_power, 5::DOUBLE AS shared_dispositive_power, (c_nationkey + 100) * 1000::DOUBLE + 5 AS beneficially_owned, c_nationkey + 5.5::DOUBLE AS percent_of_class, 'Ann Lee' AS signatures FROM customer""",
+    "proxy_proposals": """SELECT s_suppkey, 'May 5, 2024' AS meeting_date, true AS has_say_on_pay, n::BIGINT AS number, category, title || CASE n WHEN 2 THEN s_nationkey::VARCHAR WHEN 4 THEN s_suppkey::VARCHAR ELSE '' END AS title, CASE WHEN n = 3 AND s_suppkey % 2 = 1 THEN 'AGAINST' ELSE vote END AS recommendation
+  FROM supplier, (VALUES (1, 'director_election', 'Election of Directors', 'FOR'), (2, 'auditor_ratification', 'Ratify the auditor of plant ', 'FOR'), (3, 'say_on_pay', 'Advisory vote on executive compensation', 'FOR'), (4, 'other', 'Report on item ', 'AGAINST')) AS t(n, category, title, vote)""",
 }
