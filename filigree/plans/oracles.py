@@ -151,6 +151,14 @@ SELECT cik, cusip, class, put_call, CASE WHEN NOT there THEN 'new' WHEN NOT here
     "tree_preorder": _GRAPH + _WALK + " SELECT node, parent, depth, line_order, path FROM t",
     "calc_checks": _GRAPH + _CHECK + " SELECT parent, parent_value, calculated_value, difference, child_count, matched_children, status, (child_count - matched_children)::INT AS missing FROM s",
     "statement_render": _GRAPH + _WALK + ", " + _CHECK + " SELECT t.node, t.depth, coalesce('L ' || v.concept, t.node) AS label, v.numeric_value AS value, CASE WHEN v.concept IS NOT NULL THEN 'USD' END AS unit, s.status AS calculation_status FROM t LEFT JOIN nv v ON v.concept = t.node LEFT JOIN s ON s.parent = t.node",
+    # Every character counts as many places as it has bytes; with no exact hit, the first 20 places of a word with the other near.
+    "search_token_window": r"""WITH d AS (SELECT doc_id, translate(regexp_replace(regexp_replace(regexp_replace(text, '[\x{80}-\x{7FF}]', '~~', 'g'), '[\x{800}-\x{FFFF}]', '~~~', 'g'), '[\x{10000}-\x{10FFFF}]', '~~~~', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, low, contains(low, 'that, with') AS exact, CASE WHEN contains(low, 'that, with') THEN 'that, with' ELSE 'that' END AS q FROM d),
+p AS (SELECT doc_id, low, exact, length(q) AS n, string_split(low, q) AS parts FROM e),
+u AS (SELECT doc_id, low, exact, n, unnest(range(1, len(parts))) AS i, unnest(list_transform(parts[:-2], lambda x: length(x))) AS size FROM p),
+o AS (SELECT doc_id, low, exact, (SUM(size) OVER (PARTITION BY doc_id ORDER BY i) + n * (i - 1))::BIGINT AS place FROM u),
+h AS (SELECT doc_id, exact, place, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k FROM o WHERE exact OR contains(substr(low, greatest(place - 300, 0) + 1, place + 600 - greatest(place - 300, 0)), 'with'))
+SELECT doc_id, place AS "offset" FROM h WHERE exact OR k <= 20""",
     "search_exact": "WITH d AS (SELECT doc_id, regexp_replace(text, '[A-Z]', 'a', 'g') AS x, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents) SELECT doc_id, ((length(t) - length(replace(t, 'in the', ''))) // 6)::BIGINT AS matches, strlen(split_part(t, 'in the', 1)) AS first FROM d WHERE contains(t, 'in the')",
     "text_truncate": "WITH d AS (SELECT doc_id, text, strlen(text) AS n, list_filter(range(0, 102), lambda i: strlen(substr(text, 1, i)) <= 101) AS k FROM documents) SELECT doc_id, n AS byte_length, CASE WHEN n <= 101 THEN text ELSE substr(text, 1, list_max(k)) END AS content, n > 101 AS truncated FROM d",
     "plain_text": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<(?:script\b[^>]*>.*?</script|style\b[^>]*>.*?</style)\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs') AS t FROM pages),
