@@ -17,9 +17,9 @@ def as_strings(df: DataFrame) -> DataFrame:
     return df.select(*[(F.to_json(f"`{f.name}`") if isinstance(f.dataType, nested) else F.col(f"`{f.name}`").cast("string")).alias(f.name) for f in df.schema.fields])
 
 
-def to_json(df: DataFrame, pretty: bool = False, limit: int = 10_000) -> str:
-    """A JSON array of at most ``limit`` records, for results that a person reads."""
-    rows = [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).limit(limit).collect()]
+def to_json(df: DataFrame, pretty: bool = False, limit: int | None = None) -> str:
+    """A JSON array of all records, or of ``limit``, for results that a person reads; ``write`` is for large ones."""
+    rows = [json.loads(r[0]) for r in (df if limit is None else df.limit(limit)).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()]
     return json.dumps(rows, indent=2 if pretty else None, ensure_ascii=False)
 
 

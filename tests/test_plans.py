@@ -89,3 +89,18 @@ def test_form_queries_against_sql(spark):
         assert sorted(expected.columns) == cols, name
         rows = collections.Counter(repr(tuple(r)) for r in df.select(*cols).collect())
         assert rows == collections.Counter(repr(r) for r in expected.project(", ".join(f'"{c}"' for c in cols)).fetchall()), name
+
+
+def test_json_array_has_every_record(spark):
+    import json
+
+    from filigree.plans.export import to_json
+
+    df = spark.range(10_050)
+    assert len(json.loads(to_json(df))) == 10_050 and len(json.loads(to_json(df, limit=3))) == 3
+
+
+def test_value_queries_have_sql():
+    from filigree.plans import values
+
+    assert set(values.oracles("SELECT 1")) == set(values.QUERIES)
