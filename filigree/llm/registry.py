@@ -17,4 +17,4 @@ QUERIES = {
     "op10_html": html_extraction.op10_html,
 }
 
-ORACLES = {"op1_sharding": sharding.OP1_SQL}
+ORACLES = {"op1_sharding": sharding.OP1_SQL, "op8_ngram_join": ngram_join.OP8_SQL}
