@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from filigree.llm import decontamination, html_extraction, mixing, ngram_join, pii, quality, sharding, suffix_dedup, tokens, toxicity
+from filigree.llm import decontamination, hard_negatives, html_extraction, mixing, ngram_join, pii, quality, sharding, suffix_dedup, tokens, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality": quality.op9_quality,
     "op10_html": html_extraction.op10_html,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
 }
 
-ORACLES = {"op1_sharding": sharding.OP1_SQL, "op8_ngram_join": ngram_join.OP8_SQL}
+ORACLES = {"op1_sharding": sharding.OP1_SQL, "op8_ngram_join": ngram_join.OP8_SQL, "op11_hard_negatives": hard_negatives.OP11_SQL}
