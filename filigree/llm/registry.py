@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from filigree.llm import decontamination, filter_audit, hard_negatives, html_extraction, mixing, ngram_join, pii, quality, sharding, suffix_dedup, tokens, toxicity
+from filigree.llm import byte_bpe, decontamination, filter_audit, hard_negatives, html_extraction, mixing, ngram_join, pii, quality, sharding, suffix_dedup, tokens, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_html": html_extraction.op10_html,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_byte_bpe": byte_bpe.op12_byte_bpe,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
