@@ -6,12 +6,16 @@ import json
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filigree.functions import texts
 from filigree.functions.catalogue import FORM_FAMILIES
+from filigree.functions.predicates import topic_is
+from filigree.operators import disclosures
 from filigree.operators.disclosures import company_topics, records
 from filigree.sources import documents, xmlforms
+from filigree.sources.parse import parsed
 
 
 def family_of(form: str) -> tuple[str, str] | None:
@@ -41,6 +45,54 @@ def parse_form(docs: DataFrame, form: str, keys: list[str]) -> DataFrame:
     return by[kind]().select(F.lit(record).alias("kind"), F.to_json(F.struct("*")).alias("record"))
 
 
+def family_column(form: Column) -> Column:
+    """The parser kind of a form in any spelling of case; null where there is none."""
+    names = F.create_map(*[F.lit(x) for kind, _, forms, _ in FORM_FAMILIES for name in forms for x in (name, kind)])
+    return F.element_at(names, F.upper(F.trim(form)))
+
+
+#: Parsers by kind; a schedule's depends on its letter.
+PARSERS: dict[str, Callable[[str], list[dict]]] = {
+    "company_report": texts.tables, "form4": xmlforms.form4, "eight_k": disclosures.eightk_events, "13d": disclosures.schedule13("13d"), "13g": disclosures.schedule13("13g"), "proxy": disclosures.proxy,
+    "prospectus": disclosures.prospectus, "foreign_issuer": disclosures.foreign_issuer, "fund_disclosure": xmlforms.fund_report, "thirteen_f": xmlforms.information_table,
+}
+
+
+def _wanted(family: Column) -> Column:
+    """Which document of a filing its family's parser reads."""
+    text, kind = F.lower("content"), F.upper(F.trim(F.coalesce("document_type", F.lit(""))))
+    return F.when(family == "form4", F.contains(text, F.lit("<ownershipdocument"))).when(family == "thirteen_f", (kind == "INFORMATION TABLE") | F.contains(text, F.lit("<informationtable"))).otherwise(F.trim("sequence") == "1")
+
+
+def parse_filings(docs: DataFrame, keys: list[str], topic: str | None = None) -> DataFrame:
+    """Records of filings of all forms in one pass: (keys, kind, pos, record variant, error).
+
+    ``docs`` has form, document_type, sequence and content. The form chooses the
+    document and the parser within one scan and one Arrow stage; documents that no
+    parser reads never leave the JVM. Forms without a parser give no rows, documents
+    that a parser cannot read one row with their error.
+    """
+    family = F.when(F.col("_family") != "schedule13", F.col("_family")).when(F.contains(F.upper("form"), F.lit("13D")), "13d").otherwise("13g")
+    routed = docs.withColumn("_family", family_column(F.col("form"))).where(F.col("_family").isNotNull() & F.coalesce(_wanted(F.col("_family")), F.lit(False)))
+    # The parser's name travels at the head of the text, up to the first line's end.
+    routed = routed.select(*keys, "_family", F.concat(family, F.lit("\n"), F.coalesce("content", F.lit(""))).alias("_doc"))
+
+    def parse(doc: str) -> list[dict]:
+        name, _, content = doc.partition("\n")
+        return [{"pos": i, "body": json.dumps(x, ensure_ascii=False)} for i, x in enumerate(PARSERS[name](content))]
+
+    rows = parsed(routed, [*keys, "_family"], "_doc", parse, "pos int, body string")
+    # Tables of company reports get their topic, by the same expressions as in a plan of their own.
+    t = F.from_json("body", texts.TABLES)
+    best = disclosures.topic_scores(disclosures.topic_corpus(t["title_hint"], t["headers"], t["rows"]))
+    scored = rows.withColumn("_b", F.when((F.col("_family") == "company_report") & F.col("body").isNotNull(), best))
+    scored = scored.where(F.col("_b").isNull() | (F.col("_b.score") >= 3) & topic_is(F.col("_b.topic"), topic))
+    labelled = F.to_json(F.struct(F.col("_b.topic").alias("topic"), F.least(F.col("_b.score") / 8.0, F.lit(1.0)).alias("confidence")))
+    body = F.when(F.col("_b").isNull(), F.col("body")).otherwise(F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit(", "), F.substring(labelled, 2, 1 << 20)))
+    record = F.element_at(F.create_map(*[F.lit(x) for kind, _, _, r in FORM_FAMILIES for x in (kind, r)]), F.col("_family"))
+    return scored.select(*keys, record.alias("kind"), "pos", F.parse_json(body).alias("record"), F.col("_error").alias("error"))
+
+
 def model_json(answer: str) -> object:
     """The JSON in a model's answer: fenced, bare, or within other words."""
     for part in [*re.findall(r"```(?:json)?\s*(.*?)```", answer, re.S), answer, *re.findall(r"\[.*\]|\{.*\}", answer, re.S)]:

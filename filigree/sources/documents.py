@@ -34,12 +34,16 @@ def _body(raw: str) -> str:
     return raw
 
 
+def document_of(raw: str) -> dict:
+    """A document of what lies between its marks."""
+    return {"document_type": _field(raw, "TYPE"), "sequence": _field(raw, "SEQUENCE"), "filename": _field(raw, "FILENAME"), "description": _field(raw, "DESCRIPTION"), "content": _body(raw).strip()}
+
+
 def split_submission(text: str) -> list[dict]:
     """Documents of a complete submission; an unterminated one and all after it are left out."""
     out, at = [], 0
     while (a := _OPEN.search(text, at)) and (b := _CLOSE.search(text, a.end())):
-        raw = text[a.end() : b.start()]
-        out.append({"pos": len(out), "document_type": _field(raw, "TYPE"), "sequence": _field(raw, "SEQUENCE"), "filename": _field(raw, "FILENAME"), "description": _field(raw, "DESCRIPTION"), "content": _body(raw).strip()})
+        out.append({"pos": len(out)} | document_of(text[a.end() : b.start()]))
         at = b.end()
     return out
 
