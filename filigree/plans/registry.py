@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +13,7 @@ from filigree.functions.catalogue import FORM_FAMILIES
 from filigree.functions.predicates import topic_is
 from filigree.operators import disclosures
 from filigree.operators.disclosures import company_topics, records
+from filigree.operators.resolver import answer_json
 from filigree.sources import documents, xmlforms
 from filigree.sources.parse import parsed
 
@@ -93,23 +93,13 @@ def parse_filings(docs: DataFrame, keys: list[str], topic: str | None = None) ->
     return scored.select(*keys, record.alias("kind"), "pos", F.parse_json(body).alias("record"), F.col("_error").alias("error"))
 
 
-def model_json(answer: str) -> object:
-    """The JSON in a model's answer: fenced, bare, or within other words."""
-    for part in [*re.findall(r"```(?:json)?\s*(.*?)```", answer, re.S), answer, *re.findall(r"\[.*\]|\{.*\}", answer, re.S)]:
-        try:
-            return json.loads(part.strip())
-        except ValueError:
-            continue
-    raise ValueError("no JSON in the answer")
-
-
 def resolve(query: str, ask: Callable[[str], str], known: Callable[[int], str | None]) -> list[dict]:
     """Candidate companies that a model proposes, each checked by ``known`` (cik to name); one round of repair."""
     answer = ask(f"List companies as a JSON array of objects with name and cik for: {query}")
     try:
-        found = model_json(answer)
+        found = answer_json(answer)
     except ValueError:
-        found = model_json(ask(f"Give only the JSON array from this: {answer}"))
+        found = answer_json(ask(f"Give only the JSON array from this: {answer}"))
     found = found.get("candidates", []) if isinstance(found, dict) else found
     out = []
     for c in found:

@@ -95,6 +95,21 @@ def merge_distinct(one: DataFrame, two: DataFrame) -> DataFrame:
     return one.unionByName(two).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def merged_feeds(feeds: list[DataFrame], latest: int) -> DataFrame:
+    """Filings of several feeds, each accession once: the newest ``latest`` of a company, by date and accession, with their place.
+
+    Each feed is cut to its first ``latest`` rows of a company before the merge, and the merge before anything reads documents.
+    """
+    first = Window.partitionBy("cik").orderBy("pos")
+    merged = None
+    for i, feed in enumerate(feeds):
+        part = feed.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= latest).drop("_n").withColumn("_feed", F.lit(i))
+        merged = part if merged is None else merged.unionByName(part)
+    once = merged.groupBy("cik", "accession").agg(F.min_by(F.struct(*[c for c in merged.columns if c not in ("cik", "accession", "_feed")]), F.struct("_feed", "pos")).alias("_f")).select("cik", "accession", "_f.*")
+    newest = Window.partitionBy("cik").orderBy(F.col("filing_date").desc(), F.col("accession").desc())
+    return once.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= latest)
+
+
 def efts_url(query: str, forms: list[str] | None = None, ciks: list[int] | None = None, start: str | None = None, end: str | None = None, size: int = 10) -> str:
     """Search address; sizes up to 100, ciks of ten digits."""
     from urllib.parse import urlencode
