@@ -3,7 +3,8 @@
 Edges have cik or accession, role, parent, child, ord (display order) and
 weight. Trees are walked level by level until one is empty, so a
 level of any width stays distributed; a path never enters a node twice, so
-cycles end.
+cycles end. Each level is stored in the shared folder: neither lineage nor
+executors' caches grow with the depth.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from filigree.sources.shared import stored
+
 
 def roots(edges: DataFrame, by: list[str]) -> DataFrame:
     """Parents that are no child in the same tree."""
@@ -26,7 +29,7 @@ def preorder(edges: DataFrame, by: list[str], max_depth: int | None = None) -> D
     out = level
     for _ in count() if max_depth is None else range(max_depth):
         level = level.join(step, [*by, "node"]).where(~F.array_contains("path", F.col("_child"))).select(*by, F.col("_child").alias("node"), F.col("node").alias("parent"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("_child")).alias("path"), F.concat("key", F.array(F.struct(F.col("_ord").alias("o"), F.col("_child").alias("c")))).alias("key"))
-        level = level.persist()
+        level = stored(level, "level")
         if level.isEmpty():
             break
         out = out.unionByName(level)
