@@ -4,10 +4,11 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. Texts stay in
 Arrow's contiguous UTF-8 buffer; numpy works on slices of whole documents, so
 memory is bounded by ``CHUNK_BYTES`` plus the longest single document.
 
-Hashes are 64-bit: a polynomial of random byte values per word, then a
-splitmix64 finaliser, then a polynomial of word hashes per window. The powers do
-not repeat within a word of any length, so that two unequal words or windows
-collide with a chance of about 2**-60.
+Hashes are 64-bit: random values of bytes, weighed by a random odd coefficient for
+each of 256 places, summed and finalised; longer words are hashed by blocks of 256
+bytes, the blocks' hashes by blocks of 256 again, and so on, so that no pattern of
+bytes or blocks cancels whatever its length. Windows weigh their words' hashes the
+same way. Two given unequal words or windows collide with a chance of about 2**-60.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _GOLD)
-#: Odd and 5 modulo 8, so that its powers repeat after 2**62 places only.
-_BASE = 0xD1342543DE82EF95
-_pow = np.ones(1, np.uint64)
+#: Bytes of a block, and the coefficients of its places.
+_BLOCK = 256
+_PLACE = mix64(np.arange(5001, 5001 + _BLOCK, dtype=np.uint64) * _GOLD) | np.uint64(1)
 _COEF = mix64(np.arange(1001, 1065, dtype=np.uint64) * _GOLD) | np.uint64(1)
 
 SPACE = np.zeros(256, dtype=bool)
@@ -45,16 +46,6 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 SAME = np.arange(256, dtype=np.uint8)
 
 
-def _powers(n: int) -> np.ndarray:
-    """At least the first n powers of the base; n is at most ``_HASH_BLOCK``."""
-    global _pow
-    if len(_pow) < n:
-        steps = np.full(min(max(n, 4096, 2 * len(_pow)), _HASH_BLOCK), _BASE, dtype=np.uint64)
-        steps[0] = 1
-        _pow = np.cumprod(steps)
-    return _pow
-
-
 class Texts:
     """Whole documents of one slice: ``data`` bytes and ``off`` document offsets."""
 
@@ -105,18 +96,24 @@ def words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, np.searchsorted(starts, t.off)
 
 
+def _blocks(values: np.ndarray) -> np.ndarray:
+    """The hash of values of any number: of blocks, then of the blocks' hashes."""
+    while True:
+        n = len(values)
+        sums = np.add.reduceat(values * _PLACE[np.arange(n) % _BLOCK], np.arange(0, n, _BLOCK))
+        if len(sums) == 1:
+            return sums[0]
+        values = mix64(sums)
+
+
 def word_hashes(t: Texts, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
-    """A 64-bit hash of each word's bytes after the byte map ``fold``; longer words than a block go block by block."""
+    """A 64-bit hash of each word's bytes after the byte map ``fold``."""
     out = np.empty(len(starts), dtype=np.uint64)
     size = ends - starts
-    huge = size > _HASH_BLOCK
-    for w in np.flatnonzero(huge):
-        total = 0
-        for k, a in enumerate(range(int(starts[w]), int(ends[w]), _HASH_BLOCK)):
-            piece = _BYTE[fold[t.data[a : min(a + _HASH_BLOCK, int(ends[w]))]]]
-            total += int((piece * _powers(len(piece))[: len(piece)]).sum(dtype=np.uint64)) * pow(_BASE, k * _HASH_BLOCK, 1 << 64)
-        out[w] = (total + int(size[w])) & ((1 << 64) - 1)
-    usual = np.flatnonzero(~huge)
+    long = size > _BLOCK
+    for w in np.flatnonzero(long):
+        out[w] = _blocks(_BYTE[fold[t.data[starts[w] : ends[w]]]]) + np.uint64(size[w])
+    usual = np.flatnonzero(~long)
     reach = np.cumsum(size[usual])
     i = 0
     while i < len(usual):
@@ -127,7 +124,7 @@ def word_hashes(t: Texts, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray
         np.cumsum(lens[:-1], out=at[1:])
         inner = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(at, lens)
         byte = fold[t.data[inner + np.repeat(starts[at_word], lens)]]
-        out[at_word] = np.add.reduceat(_BYTE[byte] * _powers(int(lens.max()))[inner], at) + lens.astype(np.uint64)
+        out[at_word] = np.add.reduceat(_BYTE[byte] * _PLACE[inner], at) + lens.astype(np.uint64)
         i = j
     return mix64(out)
 
