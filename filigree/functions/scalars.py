@@ -156,6 +156,29 @@ def grouped(x: Column) -> Column:
     return F.format_number(x, 0)
 
 
+def dollars(x: Column) -> Column:
+    return F.concat(F.lit("$"), grouped(x))
+
+
+def signed_dollars(x: Column) -> Column:
+    return F.when(x < 0, F.concat(F.lit("-$"), grouped(-x))).otherwise(F.concat(F.lit("+$"), grouped(x)))
+
+
+def compact_number(x: Column) -> Column:
+    """Grouped where it is whole, else with two decimals."""
+    y = x.cast("double")
+    return F.when(y == F.floor(y), F.concat(F.when(y < 0, "-").otherwise(""), grouped(F.abs(y)))).otherwise(F.format_string("%.2f", y))
+
+
+def signed_number(x: Column) -> Column:
+    return F.concat(F.when(x > 0, "+").otherwise(""), compact_number(x))
+
+
+def cell(x: Column) -> Column:
+    """Text within a table's row."""
+    return F.replace(F.replace(x, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
 def bar(value: Column, most: Column, width: int = 12) -> Column:
     n = F.least(F.lit(width), F.greatest(F.lit(0), F.round(F.coalesce(safe_div(value, most), F.lit(0.0)) * width).cast("int")))
-    return F.concat(F.repeat(F.lit("█"), n), F.repeat(F.lit("░"), F.lit(width) - n))
+    return F.concat(F.repeat(F.lit("#"), n), F.repeat(F.lit("."), F.lit(width) - n))

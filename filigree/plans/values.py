@@ -131,7 +131,7 @@ SELECT o_orderkey, 'https://www.sec.gov/Archives/edgar/daily-index/' || year(d)
   JOIN (VALUES (0, true), (1, false), (2, true), (3, false), (4, NULL), (5, NULL), (6, true), (7, NULL)) AS f(j, flag) ON o_custkey % 8 = j""",
         "concept_filters": "SELECT p_partkey, 'us-gaap:Part:' || p_size AS concept, p_size::VARCHAR LIKE '1%' AS linked, p_size = 7 AS local, p_size = 7 AS \"full\", p_size::VARCHAR LIKE '2%' AS part FROM part",
         "labelled_values": "SELECT c_custkey, c_name || ' and Sons' AS agent, 'Ernst & Young LLP' AS auditor, 'Morgan Stanley' || CASE WHEN c_custkey % 2 = 0 THEN '|Jefferies' ELSE '' END AS underwriters, replace(c_name, '#', '_') || '___.htm' AS path FROM customer",
-        "report_cells": "WITH x AS (SELECT p_partkey, least(12, round(p_size * 12 / 40.0))::INT AS n FROM part) SELECT p_partkey, format('{:,}', p_partkey * 1000) AS grouped, repeat('█', n) || repeat('░', 12 - n) AS bar FROM x",
+        "report_cells": "WITH x AS (SELECT p_partkey, least(12, round(p_size * 12 / 40.0))::INT AS n FROM part) SELECT p_partkey, format('{:,}', p_partkey * 1000) AS grouped, repeat('#', n) || repeat('.', 12 - n) AS bar FROM x",
         "exhibit_filter": "SELECT o_orderkey, CASE o_custkey % 4 WHEN 0 THEN 'debt_maturity' ELSE 'debt' END AS topic FROM orders WHERE o_orderkey % 6 IN (0, 1) AND o_custkey % 4 IN (0, 1)",
         "schedule_forms": "SELECT o_orderkey, o_orderkey % 5 IN (0, 1) AS \"both\", o_orderkey % 5 = 3 AS amended, o_orderkey % 5 = 0 AS d FROM orders",
         "ticker_ciks": "SELECT s_suppkey, 'BRK-' || s_suppkey % 120 AS ticker, (SELECT MIN(c_custkey) FROM customer WHERE c_custkey % 97 = s_suppkey % 120) AS cik FROM supplier",

@@ -56,7 +56,7 @@ def test_small_helpers(spark):
     assert one(spark, X.display_value(F.lit(0.256), F.lit("ratio"))) == "25.60%"
     assert one(spark, X.known_auditor(F.col("s")), s="by Grant  Thornton LLP.") == "Grant Thornton LLP" and T.auditor("EY LLP") == "EY LLP"
     assert one(spark, X.known_underwriters(F.col("s")), s="hsbc and Nomura") == ["HSBC", "Nomura"]
-    assert one(spark, X.bar(F.lit(6.0), F.lit(12.0))) == "█" * 6 + "░" * 6
+    assert one(spark, X.bar(F.lit(6.0), F.lit(12.0))) == "######......"
     assert one(spark, X.capture_label(F.col("s"), "Agent"), s="Agent: Jane  Roe") == "Jane Roe"
 
 
