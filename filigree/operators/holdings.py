@@ -57,5 +57,17 @@ def diff(current: DataFrame, previous: DataFrame, by: list[str] | None = None) -
     return j.select(*[pick(k) for k in keys], kind.alias("change_type"), n("a.value_usd").alias("value_usd"), n("b.value_usd").alias("previous_value_usd"), (n("a.value_usd").cast("decimal(20,0)") - n("b.value_usd").cast("decimal(20,0)")).alias("value_change"), n("a.shares").cast("double").alias("shares"), n("b.shares").cast("double").alias("previous_shares"), ds.alias("share_change"))
 
 
+def newest_changes(rows: DataFrame) -> DataFrame:
+    """The comparison of each manager's two newest report dates without a join: dates are ranked once, then one
+    aggregation by position meets both sides, on the ranking's partitions. Reports of one date count together."""
+    ranked = rows.withColumn("_r", F.dense_rank().over(Window.partitionBy("cik").orderBy(F.col("report_date").desc()))).where("_r <= 2")
+    of = lambda r, c: F.sum(F.when(F.col("_r") == r, F.col(c)))
+    g = ranked.groupBy("cik", *KEYS).agg(F.bool_or(F.col("_r") == 1).alias("here"), F.bool_or(F.col("_r") == 2).alias("there"), *[F.coalesce(of(r, c), F.lit(0)).alias(f"{c}_{r}") for c in ("value_usd", "shares") for r in (1, 2)])
+    now, before = F.col("shares_1").cast("double"), F.col("shares_2").cast("double")
+    kind = F.when(~F.col("there"), "new").when(~F.col("here"), "exited").when(F.abs(now - before) <= 2.220446049250313e-16, "unchanged").when(now > before, "increased").otherwise("reduced")
+    value = F.col("value_usd_1").cast("decimal(20,0)") - F.col("value_usd_2").cast("decimal(20,0)")
+    return g.select("cik", *KEYS, kind.alias("change_type"), F.col("value_usd_1").alias("value_usd"), F.col("value_usd_2").alias("previous_value_usd"), value.alias("value_change"), now.alias("shares"), before.alias("previous_shares"), (now - before).alias("share_change"))
+
+
 def diff_order() -> list[Column]:
     return [F.col("change_type") == "unchanged", F.abs("value_change").desc(), F.col("cusip")]

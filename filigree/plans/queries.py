@@ -121,8 +121,7 @@ def holdings_aggregate(s, d):
 
 
 def holdings_diff(s, d):
-    a, b = holdings.two_newest(_aggregated(s, d))
-    df = holdings.diff(a, b)
+    df = holdings.newest_changes(_aggregated(s, d))
     return df.select("cik", "cusip", "class", "put_call", "change_type", "value_usd", "previous_value_usd", F.col("value_change").cast("long").alias("value_change"), "shares", "previous_shares", "share_change")
 
 
@@ -186,11 +185,13 @@ def statement_render(s, d):
 
 
 def search_exact(s, d):
-    return parsed(_table(s, d, "documents"), ["doc_id"], "text", lambda t: texts.search(t, "in the", 40) if "in the" in t.lower() else [], texts.SEARCH).groupBy("doc_id").agg(F.count("*").alias("matches"), F.min("offset").alias("first"))
+    found = texts.may_match(F.col("text"), "in the")
+    return parsed(_table(s, d, "documents").where(found), ["doc_id"], "text", lambda t: texts.search(t, "in the", 40, exact=True), texts.SEARCH).groupBy("doc_id").agg(F.count("*").alias("matches"), F.min("offset").alias("first"))
 
 
 def search_token_window(s, d):
-    return parsed(_table(s, d, "documents"), ["doc_id"], "text", lambda t: texts.search(t, "that, with", 100), texts.SEARCH).select("doc_id", "offset")
+    docs = _table(s, d, "documents").where(texts.may_match(F.col("text"), "that, with") | texts.may_match_words(F.col("text"), "that, with"))
+    return parsed(docs, ["doc_id"], "text", lambda t: texts.search(t, "that, with", 100), texts.SEARCH).select("doc_id", "offset")
 
 
 def text_truncate(s, d):
@@ -210,7 +211,7 @@ def html_tables(s, d):
     row = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td></td><td>"), "n_name", F.lit("</td></tr>"))
     page = n.groupBy("n_regionkey").agg(F.concat(F.lit("<h2>All nations</h2><table></table><table><tr><th>key</th><th>name</th></tr>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("x")))), lambda e: e["x"]), ""), F.lit("</table>")).alias("content"))
     t = parsed(page, ["n_regionkey"], "content", texts.tables, texts.TABLES)
-    return t.select("n_regionkey", "table_index", "row_count", "column_count", "title_hint", F.array_join(F.transform(F.slice("rows", 2, 1000), lambda r: r[1]), ",").alias("names"))
+    return t.select("n_regionkey", "table_index", "row_count", "column_count", "title_hint", F.array_join(F.transform(F.filter("rows", lambda r, i: i > 0), lambda r: r[1]), ",").alias("names"))
 
 
 def topic_argmax(s, d):

@@ -59,11 +59,12 @@ def portfolio(current: DataFrame, changes: DataFrame, cik: int, limit: int = 10)
     return f"# Portfolio report {cik}\n\n{most[2]} positions, {most[1] or 0:,} USD\n\n## Top holdings\n\n{table(['cusip', 'class', 'value', 'share'], [list(r) for r in top])}\n\n## Changes\n\n{table(['cusip', 'class', 'change', 'value change'], [list(r) for r in moved])}\n"
 
 
-def risk(sections: DataFrame, limit_bytes: int = 4000) -> str:
-    """Risk factors, and half as many bytes of management's discussion."""
+def risk(sections: DataFrame, limit_bytes: int = 4000, cik: int | None = None) -> str:
+    """Risk factors, and half as many bytes of management's discussion, of one company where sections of several are given."""
     from filigree.functions.texts import cut_bytes
 
     parts = []
+    sections = sections if cik is None else sections.where(F.col("cik") == cik)
     for r in sections.where(F.col("item").isin("1A", "7")).orderBy("item").collect():
         parts.append(f"## {r.title}\n\n{cut_bytes(r.content, limit_bytes if r.item == '1A' else limit_bytes // 2)[0]}\n")
     return "# Risk report\n\n" + "\n".join(parts)

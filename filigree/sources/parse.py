@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Characters of documents after which their rows are handed on.
+SLICE = 1 << 21
+
 
 def parsed(docs: DataFrame, keys: list[str], content: str, parser: Callable[[str], list[dict]], schema: str) -> DataFrame:
     own = T.StructType([docs.schema[k] for k in keys])
@@ -23,13 +26,20 @@ def parsed(docs: DataFrame, keys: list[str], content: str, parser: Callable[[str
 
     def run(batches):
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                key = {k: r[k] for k in keys}
+            texts, own_columns = b.column(b.num_columns - 1), b.columns[:-1]
+            rows, size = [], 0
+            for i in range(b.num_rows):
+                # One document at a time: a batch of large ones is not held twice as objects.
+                text = texts[i].as_py() or ""
+                key = {k: c[i].as_py() for k, c in zip(keys, own_columns, strict=True)}
                 try:
-                    rows += [key | x for x in parser(r[content] or "")]
+                    rows += [key | x for x in parser(text)]
                 except (ValueError, KeyError, IndexError, TypeError, AttributeError) as e:
                     rows.append(key | {"_error": f"{type(e).__name__}: {e}"})
+                size += len(text)
+                if size >= SLICE and rows:
+                    yield pa.RecordBatch.from_pylist([{f: r.get(f) for f in fields} for r in rows], schema=arrow)
+                    rows, size = [], 0
             if rows:
                 yield pa.RecordBatch.from_pylist([{f: r.get(f) for f in fields} for r in rows], schema=arrow)
 

@@ -12,7 +12,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's name under ``spark.checkpoint.dir``. Where that is unset, a temporary one, on a single machine only."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="filigree-")
         spark.conf.set("spark.checkpoint.dir", base)

@@ -146,3 +146,42 @@ def test_long_name_inside_a_longer_one(spark):
     long = " ".join(f"word{i}" for i in range(14))
     a, b = spark.createDataFrame([(1, long)], "id long, name string"), spark.createDataFrame([(7, "first " + long + " last")], "other_id long, other_name string")
     assert [tuple(r) for r in names.match(a, b).collect()] == [(1, 7)]
+
+
+def test_comparison_without_a_join_equals_the_joined_one(spark):
+    import random
+
+    from filigree.operators import holdings
+
+    r = random.Random(5)
+    rows = {(c, d, r.choice("AB"), r.choice(["x", None]), r.choice(["PUT", None])): (r.randrange(5) * 100, float(r.randrange(4))) for c in range(6) for d in ("2024-03-31", "2023-12-31", "2023-09-30")[: 1 + c % 3] for _ in range(6)}
+    df = spark.createDataFrame([(c, f"{c}-{d}", d, a, k, p, v, s, 1) for (c, d, a, k, p), (v, s) in rows.items()], "cik long, accession string, report_date string, cusip string, class string, put_call string, value_usd long, shares double, row_count long")
+    joined = holdings.diff(*holdings.two_newest(df))
+    assert sorted(map(str, holdings.newest_changes(df).select(*joined.columns).collect())) == sorted(map(str, joined.collect()))
+    plan = holdings.newest_changes(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_search_filters_let_every_match_pass(spark):
+    from filigree.functions import texts
+
+    rows = ["the NET sales", "net  sales", "Sales then a net", "net", None, "", "ſales net sales", "é NET SALES é"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id int, t string")
+    kept = {x.id for x in df.where(texts.may_match(F.col("t"), "Net Sales") | texts.may_match_words(F.col("t"), "Net Sales")).collect()}
+    assert kept >= {i for i, t in enumerate(rows) if t and texts.search(t, "Net Sales")} and not kept & {3, 4, 5}
+    assert texts.search("sales far net", "net sales", exact=True) == [] and texts.search("sales far net", "net sales") != []
+
+
+def test_parser_hands_on_rows_document_by_document(spark, monkeypatch):
+    from filigree.sources import parse
+
+    df = spark.createDataFrame([(i, "k", "x" * 300_000 if i % 2 else None) for i in range(20)], "id int, other string, text string").coalesce(1)
+
+    def parser(t):
+        if not t:
+            raise ValueError("empty")
+        return [{"n": len(t)}, {"n": 1}]
+
+    out = parse.parsed(df, ["other", "id"], "text", parser, "n long").collect()
+    assert sorted((r.id, r.n, r._error) for r in out if r.id % 2) == sorted((i, n, None) for i in range(1, 20, 2) for n in (300_000, 1))
+    assert sum(r._error == "ValueError: empty" for r in out) == 10
