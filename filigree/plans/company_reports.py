@@ -114,6 +114,25 @@ def risk_reports(sections: DataFrame, subjects: DataFrame) -> DataFrame:
     return subjects.join(s, "cik", "left").select("cik", body.alias("markdown"))
 
 
+def agent_packs(subjects: DataFrame, filings: DataFrame, sections: DataFrame, metrics: DataFrame, scores: DataFrame, form: str, latest: int, metrics_latest: int, requested: list[str]) -> DataFrame:
+    """One row a company: its filings, sections, metrics and scores with their counts, all source addresses, and what to ask next.
+
+    The four inputs carry cik and, all but metrics and scores, ``source_url``; these carry ``source_urls``. Each is
+    gathered by one aggregation, limited before by whoever made it.
+    """
+    pack = lambda df, name, url: df.groupBy("cik").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "cik"])).alias(name), F.flatten(F.collect_list(url)).alias(f"_{name}"))
+    out = subjects.select("cik")
+    for df, name, url in ((filings, "filings", F.array("source_url")), (sections, "sections", F.array("source_url")), (metrics, "metrics", F.col("source_urls")), (scores, "scores", F.col("source_urls"))):
+        out = out.join(pack(df, name, url), "cik", "left")
+    count = lambda c: F.greatest(F.size(F.coalesce(F.col(c), F.array().cast(out.schema[c].dataType))), F.lit(0))
+    urls = F.array_sort(F.array_distinct(F.array_compact(F.concat(*[F.coalesce(f"_{c}", F.array().cast("array<string>")) for c in ("filings", "sections", "metrics", "scores")]))))
+    c = F.col("cik").cast("string")
+    commands = F.array(
+        text("sec archive --cik ", c, f" --form {form} --latest {latest} --primary-only --out-dir ./archives/", c), text("sec export --kind metrics --cik ", c, f" --period annual --latest {metrics_latest} --format parquet --out metrics.parquet"), text("sec report --cik ", c, f" --kind financial --latest {latest}"),
+    )
+    return out.select("cik", F.lit(form).alias("form"), F.lit(latest).alias("latest"), F.array(*[F.lit(r) for r in requested]).cast("array<string>").alias("sections_requested"), *[count(n).alias(f"{n[:-1]}_count") for n in ("filings", "sections", "metrics", "scores")], "filings", "sections", "metrics", "scores", urls.alias("source_urls"), commands.alias("next_commands"))
+
+
 def write_reports(reports: DataFrame, root: str) -> None:
     """Each company's report as a file of its own."""
     from filigree.plans.archive import write_files

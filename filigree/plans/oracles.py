@@ -170,7 +170,7 @@ b AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replac
     "sgml_documents": "SELECT conv_id, upper(role) AS document_type, turn::VARCHAR AS sequence, 't' || turn || '.txt' AS filename, strlen(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) AS byte_length, 'text' AS content_type FROM conversations",
     "name_match": "SELECT s_suppkey AS id, c_custkey AS other_id FROM supplier JOIN customer ON regexp_extract(s_name, '[0-9]+') = regexp_extract(c_name, '[0-9]+')",
     "known_items": f"WITH o AS (SELECT (o_orderkey % 10)::VARCHAR || '.' || lpad((o_custkey % 9)::VARCHAR, 2, '0') AS item FROM orders) SELECT item, COUNT(*) AS n, any_value(category) AS category FROM o JOIN {_ITEMS} USING (item) GROUP BY item",
-    "supported_forms": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{c}', '{f}', '{r}')" for k, c, forms, r in FORM_FAMILIES for f in forms) + ") AS t(kind, canonical_form, form, record_kind)",
-    "concept_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {len(ls)}::BIGINT, {sum(len(concepts_of(k)) for _, k in ls)}::BIGINT)" for s, ls in STATEMENTS.items()) + ") AS t(statement, lines, candidates)",
+    "supported_forms": FILINGS.rstrip() + ", n AS (SELECT form, COUNT(*) AS filings FROM f GROUP BY 1) SELECT t.*, coalesce(n.filings, 0)::BIGINT AS filings FROM (VALUES " + ", ".join(f"('{k}', '{c}', '{f}', '{r}')" for k, c, forms, r in FORM_FAMILIES for f in forms) + ") AS t(kind, canonical_form, form, record_kind) LEFT JOIN n USING (form)",
+    "concept_catalogue": FACTS + "n AS (SELECT concept, COUNT(*) AS n FROM f GROUP BY 1), t AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{i}', '{c}')" for s, ls in STATEMENTS.items() for i, k in ls for c in concepts_of(k)) + ") AS t(statement, line_item, concept)) SELECT statement, COUNT(DISTINCT line_item) AS lines, COUNT(*) AS candidates, COUNT(n) AS used, coalesce(SUM(n), 0)::BIGINT AS facts FROM t LEFT JOIN n USING (concept) GROUP BY 1",
     "daily_window_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS form, COUNT(*) AS n FROM events GROUP BY ALL",
 }

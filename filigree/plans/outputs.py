@@ -82,7 +82,39 @@ def json_array(s, d):
     return s.read.option("multiLine", True).schema("c_custkey long, c_name string, x array<int>").json(path).select("c_custkey", "c_name", F.element_at("x", 2).alias("nation"))
 
 
-QUERIES = {f.__name__: f for f in (financial_report, insider_report, portfolio_report, risk_report, number_formats, exported_kinds, json_array)}
+def agent_pack(s, d):
+    """The pack of every nation: two 10-K reports by customers of its number, a section, metrics of four periods and scores of one."""
+    from filigree.functions.scalars import index_url
+    from filigree.plans.scores import health_scores
+    from filigree.sources.filings import filings
+
+    facts = adapters.facts(s, d)
+    f = filings(adapters.run(s, d, adapters.FILINGS).where("cik < 25"), form="10-K", latest=2, order=[F.col("filing_date").desc(), F.col("pos")]).withColumn("source_url", index_url(F.col("cik"), F.col("accession")))
+    sections = f.where("pos % 2 = 0").select("cik", F.lit("1A").alias("item"), F.concat(F.lit("risk of "), "accession").alias("content"), F.concat(F.lit("s/"), "accession").alias("source_url"))
+    r = R.agent_packs(_subjects(s, d), f, sections, financial_metrics(facts, latest=4), health_scores(facts, latest=1), "10-K", 2, 4, ["risk-factors"])
+    return r.select("cik", "form", "latest", F.array_join("sections_requested", ",").alias("requested"), *[F.col(f"{n}_count") for n in ("filing", "section", "metric", "score")], F.size(F.filter("source_urls", lambda u: u.startswith("s/"))).alias("section_urls"), F.array_join("next_commands", "; ").alias("commands"))
+
+
+def search_addresses(s, d):
+    """Pages of a search for every customer's name, with forms, companies and dates."""
+    from filigree.sources.filings import search_pages
+
+    k = F.col("c_custkey")
+    r = _table(s, d, "customer").select("c_custkey", F.concat(F.lit(" "), "c_name", F.lit(" & co")).alias("query"), F.when(k % 3 == 0, F.array(F.lit("10-K"), F.lit("SC 13D/A"))).alias("forms"), F.when(k % 2 == 0, F.array(k, k + 1)).otherwise(F.array().cast("array<bigint>")).alias("ciks"), F.when(k % 4 == 0, F.lit("2024-01-01")).alias("start"), F.when(k % 4 < 2, F.lit("2024-02-01")).alias("end"), F.when(k % 5 > 0, (k % 5 * 70).cast("int")).alias("size"))
+    return search_pages(r).select("c_custkey", "page", "url")
+
+
+def limited_tables(s, d):
+    """At most two tables of two rows each of a page a nation; the index counts the empty ones."""
+    from filigree.functions import texts
+    from filigree.sources.parse import parsed
+
+    docs = _table(s, d, "nation").select("n_nationkey", _text("<p>First of {n_name}</p><table><tr><td>a</td></tr><tr><td>{n_nationkey}</td><td>x</td></tr><tr><td>c</td></tr></table><table><tr><td> </td></tr></table><h3>Second</h3><table><tr><th>h</th></tr></table><table><tr><td>late</td></tr></table>").alias("content"))
+    t = parsed(docs, ["n_nationkey"], "content", lambda x: texts.tables(x, 2, 2), texts.TABLES)
+    return t.select("n_nationkey", "table_index", "title_hint", "row_count", "column_count", "returned_rows", "truncated", F.array_join(F.flatten("rows"), "|").alias("cells"))
+
+
+QUERIES = {f.__name__: f for f in (agent_pack, search_addresses, limited_tables, financial_report, insider_report, portfolio_report, risk_report, number_formats, exported_kinds, json_array)}
 
 _HEADER = "'# {title}' || chr(10) || chr(10) || '- Subject: ' || {subject} || chr(10) || '- CIK: ' || {cik}"
 _N = "chr(10)"
@@ -101,6 +133,16 @@ k AS (SELECT *, round(v::DOUBLE / m * 12)::INT AS w FROM q QUALIFY row_number()
 t AS (SELECT cik, any_value(c) AS c, any_value(s) AS s, string_agg('| I' || cusip || ' | ' || cusip || ' | $' || format('{{:,}}', v) || ' | ' || format('{{:,}}', sh) || ' | ' || repeat('#', w) || repeat('.', 12 - w) || ' |' || {_N}, '' ORDER BY v DESC, cusip) AS lines FROM k GROUP BY 1)
 SELECT s_suppkey AS cik, {_HEADER.format(title='13F Portfolio Report', subject='s_name', cik='s_suppkey')} || {_N} || {_N} || CASE WHEN t.cik IS NULL THEN '' ELSE '## Latest 13F summary' || {_N} || {_N} || '- Report date: 2024-03-31' || {_N} || '- Report type: -' || {_N} || '- Total holdings: ' || c || {_N} || '- Total value: $' || format('{{:,}}', s) || {_N} || '- Source: [SEC](s)' || {_N} || {_N} END
   || '## Top holdings' || {_N} || {_N} || '| Holding | CUSIP | Value | Shares | Visual |' || {_N} || '| --- | --- | ---: | ---: | --- |' || {_N} || coalesce(lines, '') AS top, coalesce(changes, 0)::INT AS changes FROM supplier LEFT JOIN t ON t.cik = s_suppkey LEFT JOIN u ON u.cik = s_suppkey""",
+    "agent_pack": f"""WITH f AS (SELECT c_custkey AS cik, o_orderkey AS pos FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority[1] = '1' AND o_orderstatus <> 'P' AND c_custkey < 25 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate::DATE DESC, o_orderkey) <= 2),
+m AS (SELECT cik, count(*) AS n FROM ({_O['metrics_long']}) GROUP BY 1), c AS (SELECT cik, count(*) AS n FROM (SELECT *, dense_rank() OVER (PARTITION BY cik ORDER BY period_end DESC) AS k FROM ({_O['scores']})) WHERE k = 1 GROUP BY 1),
+n AS (SELECT n_nationkey::BIGINT AS cik, (SELECT count(*) FROM f WHERE f.cik = n_nationkey)::INT AS filing_count, (SELECT count(*) FROM f WHERE f.cik = n_nationkey AND pos % 2 = 0)::INT AS section_count FROM nation)
+SELECT n.cik, '10-K' AS form, 2 AS latest, 'risk-factors' AS requested, filing_count, section_count, coalesce(m.n, 0)::INT AS metric_count, coalesce(c.n, 0)::INT AS score_count, section_count AS section_urls,
+  'sec archive --cik ' || n.cik || ' --form 10-K --latest 2 --primary-only --out-dir ./archives/' || n.cik || '; sec export --kind metrics --cik ' || n.cik || ' --period annual --latest 4 --format parquet --out metrics.parquet; sec report --cik ' || n.cik || ' --kind financial --latest 2' AS commands
+FROM n LEFT JOIN m ON m.cik = n.cik LEFT JOIN c ON c.cik = n.cik""",
+    "search_addresses": """WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 5 * 70 END AS size, c_custkey AS k, c_name FROM customer), p AS (SELECT *, unnest(CASE WHEN size IS NULL THEN [0] ELSE range(0, size, 100) END) AS o FROM r)
+SELECT c_custkey, (o // 100)::INT AS page, 'https://efts.sec.gov/LATEST/search-index?q=' || replace(c_name, '#', '%23') || '+%26+co&from=' || o || CASE WHEN size IS NULL THEN '' ELSE '&size=' || least(size - o, 100) END || CASE WHEN k % 4 < 2 THEN '&dateRange=custom' ELSE '&dateRange=all' END || CASE WHEN k % 4 = 0 THEN '&startdt=2024-01-01' ELSE '' END || CASE WHEN k % 4 < 2 THEN '&enddt=2024-02-01' ELSE '' END
+  || CASE WHEN k % 3 = 0 THEN '&forms=10-K%2CSC+13D%2FA' ELSE '' END || CASE WHEN k % 2 = 0 THEN '&ciks=' || lpad(k::VARCHAR, 10, '0') || '%2C' || lpad((k + 1)::VARCHAR, 10, '0') ELSE '' END AS url FROM p""",
+    "limited_tables": """SELECT n_nationkey, i AS table_index, 'First of ' || n_name || CASE i WHEN 1 THEN '' ELSE ' a ' || n_nationkey || ' x c Second' END AS title_hint, r AS row_count, c AS column_count, least(r, 2)::INT AS returned_rows, r > 2 AS truncated, CASE i WHEN 1 THEN 'a|' || n_nationkey || '|x' ELSE 'h' END AS cells FROM nation, (VALUES (1, 3, 2), (3, 1, 1)) AS t(i, r, c)""",
     "risk_report": f"""SELECT c_custkey AS cik, {_HEADER.format(title='10-K Risk and MD&A Report', subject='c_name', cik='c_custkey')} || {_N} || {_N} || '## Risk Factors' || {_N} || {_N} || '- Filing: 10-K ' || CASE WHEN c_custkey % 5 = 0 THEN '2023' ELSE '2024' END || '-02-01' || {_N} || '- Source: [SEC](u' || c_custkey || ')' || {_N} || '- Returned bytes: 40 / 900' || {_N} || {_N} || '> ' || CASE WHEN c_custkey % 5 = 0 THEN 'older' ELSE 'Risks of ' || c_mktsegment END || {_N} || {_N} || '## MD&A' || {_N} || {_N}
   || CASE WHEN c_custkey % 3 = 0 THEN 'No section was extracted for the selected filing.' ELSE '- Filing: 10-K 2024-02-01' || {_N} || '- Source: [SEC](u' || c_custkey || ')' || {_N} || '- Returned bytes: 40 / 900' || {_N} || {_N} || '> We sold ' || c_nationkey || '.' END || {_N} || {_N} || 'Use `sec section --item risk-factors` or `sec section --item mda` for stable JSON excerpts.' || {_N} AS markdown FROM customer""",
     "number_formats": f"""WITH x AS (SELECT *, p_partkey - 900 AS v FROM part) SELECT p_partkey, {_DOLLARS.format('p_partkey * 1000')} AS dollars, CASE WHEN v < 0 THEN '-$' ELSE '+$' END || format('{{:,}}', abs(v)) AS signed,

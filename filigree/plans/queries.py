@@ -264,13 +264,19 @@ def known_items(s, d):
 
 
 def supported_forms(s, d):
+    """The forms that parsers read, with the filings of each among those given."""
     rows = ", ".join(f"('{k}', '{c}', '{f}', '{r}')" for k, c, forms, r in FORM_FAMILIES for f in forms)
-    return s.sql(f"SELECT * FROM VALUES {rows} AS t(kind, canonical_form, form, record_kind)")
+    known = s.sql(f"SELECT * FROM VALUES {rows} AS t(kind, canonical_form, form, record_kind)")
+    filed = _filings(s, d).groupBy("form").agg(F.count("*").alias("filings"))
+    return known.join(filed, "form", "left").select("kind", "canonical_form", "form", "record_kind", F.coalesce("filings", F.lit(0)).cast("long").alias("filings"))
 
 
 def concept_catalogue(s, d):
+    """Lines and candidate concepts of each statement, with the candidates and facts found among those given."""
     rows = ", ".join(f"('{a}', {o}, '{i}', '{c}', {p})" for a, o, i, c, p in statement_lines())
-    return s.sql(f"SELECT * FROM VALUES {rows} AS t(statement, line_order, line_item, concept, priority)").groupBy("statement").agg(F.countDistinct("line_item").alias("lines"), F.count("*").alias("candidates"))
+    known = s.sql(f"SELECT * FROM VALUES {rows} AS t(statement, line_order, line_item, concept, priority)")
+    found = adapters.facts(s, d).groupBy("concept").agg(F.count("*").alias("n"))
+    return known.join(found, "concept", "left").groupBy("statement").agg(F.countDistinct("line_item").alias("lines"), F.count("*").alias("candidates"), F.count("n").alias("used"), F.sum(F.coalesce("n", F.lit(0))).cast("long").alias("facts"))
 
 
 def daily_window_counts(s, d):

@@ -110,10 +110,32 @@ def merged_feeds(feeds: list[DataFrame], latest: int) -> DataFrame:
     return once.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= latest)
 
 
-def efts_url(query: str, forms: list[str] | None = None, ciks: list[int] | None = None, start: str | None = None, end: str | None = None, size: int = 10) -> str:
+SEARCH = "https://efts.sec.gov/LATEST/search-index"
+
+
+def efts_url(query: str, forms: list[str] | None = None, ciks: list[int] | None = None, start: str | None = None, end: str | None = None, size: int | None = None) -> str:
     """Search address; sizes up to 100, ciks of ten digits."""
     from urllib.parse import urlencode
 
-    p = {"q": query, "size": min(size, 100), "dateRange": "custom" if start or end else "all"}
+    p = {"q": query.strip(), "from": 0} | ({} if size is None else {"size": min(size, 100)}) | {"dateRange": "custom" if start or end else "all"}
     p |= {k: v for k, v in (("startdt", start), ("enddt", end), ("forms", ",".join(forms or [])), ("ciks", ",".join(f"{c:010d}" for c in ciks or []))) if v}
-    return "https://efts.sec.gov/LATEST/search-index?" + urlencode(p)
+    return f"{SEARCH}?{urlencode(p)}"
+
+
+def search_pages(requests: DataFrame) -> DataFrame:
+    """The addresses that a batch of searches asks for, one a page of 100 hits: requests with page, offset and url.
+
+    ``requests`` has query, forms and ciks (arrays), start, end and size; the lists of
+    forms and companies go to the server, as a semi-join would filter its answer.
+    """
+    coded = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    offsets = F.when(F.col("size").isNull() | (F.col("size") <= 0), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(100)))
+    r = requests.select("*", F.posexplode(offsets).alias("page", "offset"))
+    dated = F.col("start").isNotNull() | F.col("end").isNotNull()
+    ciks = F.array_join(F.transform("ciks", lambda c: F.when(c < 10**10, F.lpad(c.cast("string"), 10, "0")).otherwise(c.cast("string"))), ",")
+    pairs = [
+        F.concat(F.lit("q="), coded(F.trim("query"))), F.concat(F.lit("from="), F.col("offset").cast("string")), F.when(F.col("size").isNotNull(), F.concat(F.lit("size="), F.least(F.col("size") - F.col("offset"), F.lit(100)).cast("string"))),
+        F.when(dated, F.lit("dateRange=custom")).otherwise("dateRange=all"), F.concat(F.lit("startdt="), F.col("start")), F.concat(F.lit("enddt="), F.col("end")),
+        F.when(F.size("forms") > 0, F.concat(F.lit("forms="), coded(F.array_join("forms", ",")))), F.when(F.size("ciks") > 0, F.concat(F.lit("ciks="), coded(ciks))),
+    ]
+    return r.withColumn("url", F.concat(F.lit(f"{SEARCH}?"), F.concat_ws("&", *pairs)))

@@ -81,3 +81,24 @@ def test_number_formats(spark):
     assert [one(X.dollars(F.lit(1234567))), one(X.signed_dollars(F.lit(-1200))), one(X.signed_dollars(F.lit(1200))), one(X.signed_dollars(F.lit(0)))] == ["$1,234,567", "-$1,200", "+$1,200", "+$0"]
     assert [one(X.signed_number(F.lit(v))) for v in (5.0, -1234.0, 0.0, 2.5, -2.5)] == ["+5", "-1,234", "0", "+2.50", "-2.50"]
     assert one(X.cell(F.lit("A|B\nC"))) == "A\\|B C" and one(X.bar(F.lit(1.0), F.lit(0.0))) == "............"
+
+
+def test_search_pages(spark):
+    from filigree.sources.filings import efts_url, search_pages
+
+    rows = [(1, " a & b ", ["10-K"], [12], None, "2024-02-01", 250), (2, "q", None, None, None, None, None), (3, "q", [], [], "2024-01-01", None, 0)]
+    out = [(r.k, r.page, r.url) for r in search_pages(spark.createDataFrame(rows, "k int, query string, forms array<string>, ciks array<long>, start string, end string, size int")).orderBy("k", "page").collect()]
+    base = "https://efts.sec.gov/LATEST/search-index?q="
+    assert [x[2] for x in out if x[0] == 1] == [f"{base}a+%26+b&from={o}&size={n}&dateRange=custom&enddt=2024-02-01&forms=10-K&ciks=0000000012" for o, n in ((0, 100), (100, 100), (200, 50))]
+    assert out[3][2] == f"{base}q&from=0&dateRange=all" == efts_url("q") and out[4][2].startswith(f"{base}q&from=0&size=0&dateRange=custom&startdt=2024-01-01")
+    assert efts_url(" a & b ", ["10-K"], [12], None, "2024-02-01", 250) == f"{base}a+%26+b&from=0&size=100&dateRange=custom&enddt=2024-02-01&forms=10-K&ciks=0000000012"
+
+
+def test_agent_packs(spark):
+    subjects = spark.createDataFrame([(1, "One"), (2, "Two")], "cik long, subject string")
+    f = spark.createDataFrame([(1, "a", "u1"), (1, "b", "u2")], "cik long, accession string, source_url string")
+    sections = spark.createDataFrame([(1, "1A", "u1")], "cik long, item string, source_url string")
+    scored = spark.createDataFrame([(1, "m", ["u3", "u1"])], "cik long, metric string, source_urls array<string>")
+    out = {r.cik: r for r in R.agent_packs(subjects, f, sections, scored, scored, "10-K", 2, 4, ["risk"]).collect()}
+    assert (out[1].filing_count, out[1].section_count, out[1].metric_count, out[1].score_count) == (2, 1, 1, 1) and out[1].source_urls == ["u1", "u2", "u3"]
+    assert (out[2].filing_count, out[2].score_count, out[2].source_urls) == (0, 0, []) and len(out[2].next_commands) == 3
