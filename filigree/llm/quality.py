@@ -8,7 +8,8 @@ The base figures that the report returns are computed for every document.
 
 Defined results: null text counts as empty; an empty or blank document has all
 figures 0 and fails the base rule; repeated rows give repeated results; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns are ignored; very long texts are judged
+whole, one at a time.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ look-up. Placement uses DataFrame functions only.
 
 Defined results: rows with equal keys go to the same shard; a null key counts
 as the empty string and is placed like any other; an empty table gives no
-rows; columns of the input named like an output column are replaced.
+rows; columns of the input named like an output column are replaced; texts are not
+read, so their length plays no part.
 """
 
 from __future__ import annotations
