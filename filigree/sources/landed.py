@@ -3,7 +3,9 @@
 A landing job leaves each submission as ``form=.../cik=.../<accession>.txt`` below
 one root. Planning lists only the folders and files of the wanted forms, ciks and
 accessions, cuts large files into ranges of ``rangeBytes`` and packs small ones
-into one partition of about as many bytes. A range reads the documents
+into one partition of about as many bytes. Where this gives more than ``PARTITIONS``,
+neighbours share a task, so that tasks grow with the bytes and not with the number of
+files; ranges that meet in a file are read as one. A range reads the documents
 whose opening mark lies in it, the last one beyond its end; so a submission of a
 gigabyte is read by several tasks, and none holds more than one document and a
 block. ``file_offset`` orders the documents of a submission as its text does.
@@ -20,6 +22,7 @@ null form and cik.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections.abc import Collection, Iterable, Iterator
@@ -39,6 +42,8 @@ _ARROW = pa.schema([("form", pa.string()), ("cik", pa.int64()), ("accession", pa
 
 #: Bytes of a range and of a partition of small files, what opening a file counts, a read, and a batch.
 RANGE_BYTES, OPEN_BYTES, BLOCK, BATCH = 128 << 20, 1 << 20, 1 << 20, 4 << 20
+#: Partitions above which neighbours are put together, and what opening a file counts then.
+PARTITIONS, OPEN_SHARED = 256, 64 << 10
 _OPEN, _CLOSE = re.compile(rb"<document>", re.I), re.compile(rb"</document>", re.I)
 
 
@@ -111,6 +116,27 @@ def packed(files: Iterable[tuple], limit: int, opening: int = OPEN_BYTES) -> lis
     return [*out, held] if held else out
 
 
+def dealt(parts: list[list[tuple]], most: int = PARTITIONS, limit: int = RANGE_BYTES, opening: int = OPEN_SHARED) -> list[list[tuple]]:
+    """At most ``most`` partitions, or as many as hold ``limit`` bytes each; ranges of a file that meet become one."""
+    if len(parts) <= most:
+        return parts
+    size = lambda r: r[-1] - r[-2] + opening
+    share = min(limit, -(-sum(size(r) for p in parts for r in p) // most))
+    out: list[list[tuple]] = [[]]
+    held = 0
+    for r in itertools.chain.from_iterable(parts):
+        if held >= share:
+            out.append([])
+            held = 0
+        here = out[-1]
+        if here and here[-1][:-2] == r[:-2] and here[-1][-1] == r[-2]:
+            here[-1] = (*r[:-2], here[-1][-2], r[-1])
+        else:
+            here.append(r)
+        held += size(r)
+    return out
+
+
 #: Choices that planning applies, and those that reading applies.
 PLANNED, READ = ("form", "cik", "accession"), ("document_type", "sequence", "filename")
 
@@ -139,7 +165,7 @@ class LandedReader(DataSourceReader):
 
     def partitions(self) -> list[Ranges]:
         fs, folder = filesystem(self.root)
-        return [Ranges(r) for r in packed(self._files(fs, folder, None, None), self.limit)] or [Ranges([])]
+        return [Ranges(r) for r in dealt(packed(self._files(fs, folder, None, None), self.limit))] or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(self.root)

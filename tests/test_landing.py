@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from filigree.plans.archive import FilesWriter, archive_filings, archived_files, write_files
 from filigree.plans.registry import parse_filings
 from filigree.sources.documents import split_submission
-from filigree.sources.landed import LandedReader, documents_in, land, landed_documents, packed
+from filigree.sources.landed import LandedReader, dealt, documents_in, land, landed_documents, packed
 
 
 def doc(n, kind="10-K", body="x", mark="DOCUMENT"):
@@ -37,6 +37,26 @@ def test_small_files_share_a_partition_and_large_ones_are_cut():
     assert packed(files, 40, 5) == [[("a", 0, 10), ("b", 0, 10)], [("c", 0, 40)], [("c", 40, 80)], [("c", 80, 95), ("d", 0, 0)]]
 
 
+def test_many_small_ranges_share_tasks():
+    parts = packed([(f"f{n}", 5000) for n in range(3000)], 2048)
+    assert len(parts) == 9000
+    out = dealt(parts, 256)
+    assert len(out) <= 257 and max(map(len, out)) <= 13
+    # Every byte once, in order; pieces of a file that lie in one task are one.
+    assert sum(e - a for p in out for _, a, e in p) == 3000 * 5000 and len({x for p in out for x in p}) == sum(map(len, out)) < 3400
+    assert [x[0] for p in out for x in p] == sorted((x[0] for p in out for x in p), key=lambda f: int(f[1:]))
+    assert dealt(parts[:256], 256) == parts[:256]
+
+
+def test_planning_does_not_make_a_task_a_file(tmp_path):
+    (tmp_path / "form=4" / "cik=1").mkdir(parents=True)
+    for n in range(600):
+        (tmp_path / "form=4" / "cik=1" / f"{n}.txt").write_text(doc(1) + doc(2))
+    r = LandedReader({"path": str(tmp_path), "rangebytes": "64"})
+    parts = r.partitions()
+    assert len(parts) <= 257 and sum(b.num_rows for p in parts for b in r.read(p)) == 1200
+
+
 @pytest.fixture
 def landed(spark, tmp_path):
     root = f"file://{tmp_path}/in"
