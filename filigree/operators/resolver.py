@@ -8,6 +8,9 @@ Words of a name are ordered from rare to frequent; a pair that reaches
 of both, so only these are joined: no pair is scored that shares none, and none
 that qualifies is missed. Frequent words hardly ever lead.
 
+Tables of names stay distributed: their files are small beside the names that are made
+of them, so the planner's sizes would have it broadcast them; joins ask for a merge.
+
 Defined results: a null or empty name, or one of legal suffixes only, finds
 nothing; of equally scored companies the smaller cik is taken; repeated
 companies count once.
@@ -87,7 +90,7 @@ def _words(df: DataFrame, key: str, name: Column) -> DataFrame:
 
 def _weighed(words: DataFrame, key: str, weights: DataFrame) -> DataFrame:
     """(key, all: weight of the name, lead: words that a qualifying partner must share one of, words: word to weight)."""
-    w = words.select(key, F.explode("words").alias("word")).join(weights, "word").groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("rare"), "word"))).alias("ws"))
+    w = words.select(key, F.explode("words").alias("word")).join(weights.hint("merge"), "word").groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("rare"), "word"))).alias("ws"))
     total = F.aggregate("ws", F.lit(0).cast("long"), lambda a, x: a - x["rare"])
     before = F.transform("ws", lambda x, i: F.struct(x["word"].alias("word"), F.aggregate(F.slice("ws", F.lit(1), i), F.lit(0).cast("long"), lambda a, y: a - y["rare"]).alias("before")))
     w = w.withColumn("all", total).withColumn("b", before)
@@ -108,7 +111,7 @@ def scored_pairs(queries: DataFrame, companies: DataFrame) -> DataFrame:
     weights = every_word.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("word", F.length(F.bin(F.expr("n div df"))).cast("long").alias("weight"))
     x, y = _weighed(a, "id", weights), _weighed(b, "cik", weights)
     x, y = x.select("id", F.col("all").alias("xa"), "lead", F.col("weights").alias("xw")), y.select("cik", F.col("all").alias("ya"), "lead", F.col("weights").alias("yw"))
-    met = x.withColumn("k", F.explode("lead")).drop("lead").join(y.withColumn("k", F.explode("lead")).drop("lead"), "k").drop("k").dropDuplicates(["id", "cik"])
+    met = x.withColumn("k", F.explode("lead")).drop("lead").join(y.withColumn("k", F.explode("lead")).drop("lead").hint("merge"), "k").drop("k").dropDuplicates(["id", "cik"])
     shared = F.aggregate(F.array_intersect(F.map_keys("xw"), F.map_keys("yw")), F.lit(0).cast("long"), lambda s, w: s + F.col("xw")[w])
     return met.select("id", "cik", shared.alias("shared"), F.greatest("xa", "ya").alias("heavier")).where(F.col("shared") * 100 >= PERCENT * F.col("heavier"))
 
@@ -119,11 +122,11 @@ def manager_lookup(queries: DataFrame, companies: DataFrame) -> DataFrame:
     tried = queries.select("id", "name", F.posexplode(search_variants(F.col("name"))).alias("place", "variant"))
     spelled = companies.select("cik", "company", F.explode(search_variants(F.col("company"))).alias("variant")).distinct()
     w = Window.partitionBy("id").orderBy("place", "cik")
-    exact = tried.join(spelled, "variant").withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", "cik", F.lit("variant").alias("how"), F.lit(None).cast("long").alias("shared"), F.lit(None).cast("long").alias("heavier"))
-    rest = queries.join(exact.select("id"), "id", "left_anti")
+    exact = tried.join(spelled.hint("merge"), "variant").withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", "cik", F.lit("variant").alias("how"), F.lit(None).cast("long").alias("shared"), F.lit(None).cast("long").alias("heavier"))
+    rest = queries.join(exact.select("id").hint("merge"), "id", "left_anti")
     best = Window.partitionBy("id").orderBy((F.col("shared") / F.col("heavier")).desc(), "cik")
     scored = scored_pairs(rest, companies).withColumn("_n", F.row_number().over(best)).where("_n = 1").select("id", "cik", F.lit("score").alias("how"), "shared", "heavier")
-    return queries.join(exact.unionByName(scored).join(companies, "cik"), "id", "left").select("id", "name", "cik", "company", "how", "shared", "heavier")
+    return queries.join(exact.unionByName(scored).join(companies.hint("merge"), "cik").hint("merge"), "id", "left").select("id", "name", "cik", "company", "how", "shared", "heavier")
 
 
 def next_commands(cik: Column) -> Column:

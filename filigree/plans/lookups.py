@@ -13,7 +13,7 @@ from filigree.plans.forms import _joined, _table, _text
 def _companies(s, d):
     """Companies from parts and names that search for them from suppliers: as named, reordered, shortened, unknown."""
     p = _table(s, d, "part").select(F.col("p_partkey").alias("cik"), F.concat(F.initcap("p_name"), F.lit(" & "), F.replace("p_brand", F.lit("#"), F.lit(" No")), F.lit(" Lot"), F.col("p_partkey").cast("string"), F.lit(", Inc.")).alias("company"), "p_name", "p_brand")
-    q = _table(s, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 3).alias("cik")).join(p, "cik")
+    q = _table(s, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 3).alias("cik")).join(p.hint("merge"), "cik")
     k, lot, brand = F.col("s_suppkey") % 5, F.concat(F.lit("lot"), F.col("cik").cast("string")), F.replace("p_brand", F.lit("#"), F.lit(" no"))
     name = (
         F.when(k == 0, F.concat(F.lit(" "), F.replace("company", F.lit(" & "), F.lit("& ")))).when(k == 1, F.concat(lot, F.lit(" / "), brand, F.lit(", "), "p_name", F.lit(" Group"))).when(k == 2, F.concat(F.lit("the "), brand, F.lit(" "), lot))

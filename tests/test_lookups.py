@@ -52,6 +52,16 @@ def test_lookup_prefers_variants_and_small_ciks(spark):
     assert out == {1: (4, "score"), 2: (4, "variant"), 3: (7, "score"), 4: (None, None)}
 
 
+def test_names_are_not_broadcast(spark):
+    c = spark.createDataFrame([(k, f"Alpha{k} Beta") for k in range(50)], "cik long, company string")
+    q = spark.createDataFrame([(k, f"beta alpha{k}") for k in range(50)], "id long, name string")
+    out = resolver.manager_lookup(q, c)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # One row, the number of names, is all that is broadcast.
+    assert "BroadcastHashJoin" not in plan and plan.count("BroadcastNestedLoopJoin") == plan.count("IdentityBroadcastMode") == 2
+    assert {r.id: r.cik for r in out.collect()} == {k: k for k in range(50)}
+
+
 def test_model_answers():
     assert resolver.answer_json('x ```json\n[1]\n``` y') == [1] and resolver.answer_json('so {"a": [2]} end') == {"a": [2]}
     asked = []
