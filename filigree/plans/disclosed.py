@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from filigree.functions import texts
 from filigree.operators import disclosures
-from filigree.plans.forms import _joined, _table, _text
+from filigree.plans.forms import _dealt, _joined, _table, _text
 from filigree.sources import xmlforms
 from filigree.sources.documents import of_type, submission_documents
 from filigree.sources.parse import parsed
@@ -29,7 +29,7 @@ PROXIES = [
 
 def proxy_shapes(s, d):
     """Proposals, people and dates of proxies of three shapes."""
-    c = _table(s, d, "customer")
+    c = _dealt(s, d, "customer", "c_custkey")
     doc = c.select("c_custkey", _shape("c_custkey", PROXIES, day=F.col("c_nationkey") + 1).alias("content"))
     r = disclosures.records(doc, ["c_custkey"], "proxy")
     shown = F.array_join(F.transform("proposals", lambda p: F.concat_ws("/", p["number"].cast("string"), p["category"], p["title"], F.coalesce(p["recommendation"], F.lit("-")))), "; ")
@@ -45,7 +45,7 @@ PROSPECTUSES = [
 
 def prospectus_parts(s, d):
     """Excerpts, amounts, underwriters and relevant tables of prospectuses of two shapes."""
-    doc = _table(s, d, "part").select("p_partkey", _shape("p_partkey", PROSPECTUSES).alias("content"))
+    doc = _dealt(s, d, "part", "p_partkey").select("p_partkey", _shape("p_partkey", PROSPECTUSES).alias("content"))
     r = disclosures.records(doc, ["p_partkey"], "prospectus")
     return r.select("p_partkey", "proposed_ticker", "offering_amount", F.array_join("securities_offered", "|").alias("securities"), F.array_join("underwriters", "|").alias("underwriters"), "tables", F.col("use_of_proceeds.content").alias("proceeds"), F.col("risk_factors.content").alias("risks"), F.col("risk_factors.byte_length").alias("risk_bytes"), F.col("dilution.content").alias("dilution"), F.col("business").isNull().alias("no_business"))
 
@@ -58,7 +58,7 @@ FOREIGN = [
 
 def foreign_parts(s, d):
     """Excerpts of foreign issuers' reports of two shapes."""
-    doc = _table(s, d, "customer").select("c_custkey", _shape("c_custkey", FOREIGN).alias("content"))
+    doc = _dealt(s, d, "customer", "c_custkey").select("c_custkey", _shape("c_custkey", FOREIGN).alias("content"))
     r = disclosures.records(doc, ["c_custkey"], "foreign")
     return r.select("c_custkey", "symbol", "auditor", F.col("operating_review.content").alias("review"), F.col("operating_review.title").alias("review_title"), F.col("controls.content").alias("controls"), F.col("financial_statements.returned_bytes").alias("statement_bytes"), F.col("risk_factors").isNull().alias("no_risks"))
 
@@ -66,21 +66,21 @@ def foreign_parts(s, d):
 def exhibits_8k(s, d):
     """Exhibits of one submission a customer: texts, categories and whether they are furnished."""
     doc = _text("<DOCUMENT>\n<TYPE>8-K\n<SEQUENCE>1\n<TEXT>Item 8.01 Other</TEXT>\n</DOCUMENT>\n<DOCUMENT>\n<TYPE>EX-99.1\n<SEQUENCE>2\n<FILENAME>r{c_custkey}.htm\n<DESCRIPTION>Quarter results\n<TEXT><p>Sales &amp; profit of {c_custkey} rose</p></TEXT>\n</DOCUMENT>\n<DOCUMENT>\n<TYPE>EX-10.1\n<SEQUENCE>3\n<FILENAME>a.htm\n<TEXT>Lease {c_nationkey}</TEXT>\n</DOCUMENT>\n<DOCUMENT>\n<TYPE>EX-101.INS\n<SEQUENCE>4\n<FILENAME>x.xml\n<TEXT><a/></TEXT>\n</DOCUMENT>\n")
-    docs = submission_documents(_table(s, d, "customer").select("c_custkey", doc.alias("text")), ["c_custkey"])
+    docs = submission_documents(_dealt(s, d, "customer", "c_custkey").select("c_custkey", doc.alias("text")), ["c_custkey"])
     return disclosures.eightk_exhibits(docs, limit_bytes=12).select("c_custkey", "sequence", "document_type", "category", "is_furnished", "content", "byte_length", "truncated")
 
 
 def typed_documents(s, d):
     """Documents of one type, in any case, with what they hold."""
     doc = _text("<document>\n<type>10-k\n<sequence>1\n<text>{c_custkey}</text>\n</document>\n<DOCUMENT>\n<TYPE>EX-21\n<SEQUENCE>2\n<TEXT>sub {c_nationkey}</TEXT>\n</DOCUMENT>\n<DOCUMENT>\n<TYPE>EX-21\n<SEQUENCE>3\n<TEXT>open")
-    docs = submission_documents(_table(s, d, "customer").select("c_custkey", doc.alias("text")), ["c_custkey"])
+    docs = submission_documents(_dealt(s, d, "customer", "c_custkey").select("c_custkey", doc.alias("text")), ["c_custkey"])
     return of_type(docs, "ex-21").unionByName(of_type(docs, "10-K")).select("c_custkey", "pos", "document_type", "sequence", "content")
 
 
 def search_snippets(s, d):
     """Places of a phrase with what stands around them and the item that they stand in."""
     doc = _text("Item 1. Business\nof part {p_partkey}\n<b>Item 7. Discussion of {p_brand}</b> where net sales rose and <i title='net sales'>again</i> NET SALES of {p_size} fell")
-    docs = _table(s, d, "part").select("p_partkey", doc.alias("content"))
+    docs = _dealt(s, d, "part", "p_partkey").select("p_partkey", doc.alias("content"))
     return parsed(docs, ["p_partkey"], "content", lambda t: texts.search(t, "net sales", 14), texts.SEARCH).select("p_partkey", "snippet", "section", (F.col("offset") > 60).alias("late"))
 
 
@@ -91,7 +91,7 @@ _REPORT = "Item 1. Business Item 1A. Risk Factors Item 2. Properties Item 7. Man
 def all_sections(s, d):
     """Seven sections of an annual report by their various names."""
     names = ["business", "risk", "Legal Proceedings", "mda", "7A", "financial_statements", "cybersecurity"]
-    docs = _table(s, d, "part").select("p_partkey", _text(_REPORT).alias("content"))
+    docs = _dealt(s, d, "part", "p_partkey").select("p_partkey", _text(_REPORT).alias("content"))
     return parsed(docs, ["p_partkey"], "content", lambda t: [x for n in names for x in texts.section(t, n)], texts.SECTION).select("p_partkey", "item", "title", "content", "byte_length", "truncated")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from filigree.functions import texts
 from filigree.operators import disclosures
 from filigree.sources import xmlforms
-from filigree.sources.parse import parsed
+from filigree.sources.parse import dealt, parsed
 
 
 def _text(pattern: str, **cols) -> Column:
@@ -30,11 +30,16 @@ def _table(s, d, name):
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
+def _dealt(s, d, name, key):
+    """A table of which each row becomes a document, spread before the documents are made."""
+    return dealt(_table(s, d, name), key)
+
+
 def inline_facts(s, d):
     """A number and a name an order, of which every third number is negative."""
     sign = F.when(F.col("o_orderkey") % 3 == 0, ' sign="-"').otherwise("")
     doc = _text('<div><ix:nonFraction name="us-gaap:Revenues" contextRef="c{o_custkey}" unitRef="USD" scale="3" decimals="-3"{sign}>${k},000</ix:nonFraction><p><ix:nonNumeric contextRef="c0" name="dei:EntityRegistrantName"><b>A &amp; B</b> {o_orderkey}</ix:nonNumeric></p></div>', sign=sign, k=F.floor("o_totalprice"))
-    facts = xmlforms.parse_column(_table(s, d, "orders").select("o_orderkey", doc.alias("content")), ["o_orderkey"], "inline")
+    facts = xmlforms.parse_column(_dealt(s, d, "orders", "o_orderkey").select("o_orderkey", doc.alias("content")), ["o_orderkey"], "inline")
     return facts.select("o_orderkey", "pos", "name", "namespace", "local_name", "context_ref", "unit_ref", "scale", "decimals", "sign", "value", "numeric_value")
 
 
@@ -56,34 +61,34 @@ def fund_holdings(s, d):
 def form13f_summary(s, d):
     """A report summary a supplier."""
     doc = _text("<edgarSubmission><periodOfReport>03-31-2024</periodOfReport><filingManager><name>{s_name}</name><address><city>C{s_nationkey}</city><stateOrCountry>NY</stateOrCountry></address></filingManager><reportType>13F HOLDINGS REPORT</reportType><otherManager2><otherManager><name>M{s_suppkey}</name></otherManager></otherManager2><otherManager2><otherManager><name>Second &amp; Co</name></otherManager></otherManager2><otherIncludedManagersCount>2</otherIncludedManagersCount><tableEntryTotal>{s_suppkey}</tableEntryTotal><tableValueTotal>{v}</tableValueTotal><signatureBlock><name>Signer {s_suppkey}</name><signatureDate>05-01-2024</signatureDate></signatureBlock></edgarSubmission>", v=F.col("s_suppkey") * 1000)
-    r = xmlforms.parse_column(_table(s, d, "supplier").select("s_suppkey", doc.alias("content")), ["s_suppkey"], "summary")
+    r = xmlforms.parse_column(_dealt(s, d, "supplier", "s_suppkey").select("s_suppkey", doc.alias("content")), ["s_suppkey"], "summary")
     return r.select("s_suppkey", "report_date", "report_type", "manager", "city", "state", "other_managers_count", "entry_total", "value", "signer", "signature_date", F.array_join("other_managers", "|").alias("other_managers"))
 
 
 def sections(s, d):
     """Risk factors of an annual report an order: a contents list, then bodies."""
     doc = _text("Item 1. Business Item 1A. Risk Factors Item 2. Properties\nItem 1. Business We sell.\nItem 1A. Risk Factors Orders such as {o_orderkey} of {o_orderpriority} may be late — or lost.\nItem 2. Properties None.")
-    return parsed(_table(s, d, "orders").select("o_orderkey", doc.alias("content")), ["o_orderkey"], "content", lambda t: texts.section(t, "risk_factors", 40), texts.SECTION).drop("_error")
+    return parsed(_dealt(s, d, "orders", "o_orderkey").select("o_orderkey", doc.alias("content")), ["o_orderkey"], "content", lambda t: texts.section(t, "risk_factors", 40), texts.SECTION).drop("_error")
 
 
 def prospectus(s, d):
     """A prospectus a part: every other one offers shares to the public for the first time."""
     doc = _text("<p>This is {kind} of {n},000 shares of our Class A common stock between ${p_size}.00 and ${hi}.50 a share on the {market}.</p><p>Use of Proceeds We build part {p_partkey}.</p>", kind=F.when(F.col("p_partkey") % 2 == 0, "an initial public offering").otherwise("a resale"), n=F.col("p_size") + 100, hi=F.col("p_size") + 2, market=F.when(F.col("p_partkey") % 3 == 0, "NYSE American").otherwise("Nasdaq Capital Market"))
-    r = disclosures.records(_table(s, d, "part").select("p_partkey", doc.alias("content")), ["p_partkey"], "prospectus")
+    r = disclosures.records(_dealt(s, d, "part", "p_partkey").select("p_partkey", doc.alias("content")), ["p_partkey"], "prospectus")
     return r.select("p_partkey", "mentions_ipo", "exchange", "price_range", "shares_offered", "tables")
 
 
 def foreign_issuers(s, d):
     """A foreign issuer's report a customer."""
     doc = _text("<p>Our shares trade on the {market}. We {what}.</p>", market=F.when(F.col("c_nationkey") % 2 == 0, "London Stock Exchange").otherwise("Toronto Stock Exchange"), what=F.when(F.col("c_custkey") % 3 == 0, "paid a dividend after the press release").when(F.col("c_custkey") % 3 == 1, "made an acquisition").otherwise("did nothing"))
-    r = disclosures.records(_table(s, d, "customer").select("c_custkey", doc.alias("content")), ["c_custkey"], "foreign")
+    r = disclosures.records(_dealt(s, d, "customer", "c_custkey").select("c_custkey", doc.alias("content")), ["c_custkey"], "foreign")
     return r.select("c_custkey", "exchange", F.array_join("event_signals", ",").alias("event_signals"))
 
 
 def schedule13(s, d):
     """An ownership schedule a customer, with the rows of the printed cover."""
     doc = _text("<p>Part {c_custkey} Corp (Name of Issuer)</p><p>1. Name of Reporting Person: Holder {c_custkey} LP</p><p>7. Sole Voting Power: {n},000</p><p>8. Shared Voting Power: 0</p><p>9. Sole Dispositive Power: {n},000</p><p>10. Shared Dispositive Power: 5</p><p>11. Aggregate Amount Beneficially Owned by Each Reporting Person: {n},005</p><p>13. Percent of Class Represented by Amount in Row (11): {k}.5%</p><p>Item 4. Purpose of Transaction. Holder {c_custkey} means to talk to the board.</p><p>/s/ Ann Lee</p>", n=F.col("c_nationkey") + 100, k=F.col("c_nationkey") + 5)
-    r = disclosures.records(_table(s, d, "customer").select("c_custkey", doc.alias("content")), ["c_custkey"], "13d")
+    r = disclosures.records(_dealt(s, d, "customer", "c_custkey").select("c_custkey", doc.alias("content")), ["c_custkey"], "13d")
     return r.select("c_custkey", "filing_type", "activist_intent", "issuer_name", F.array_join("reporting_persons", "|").alias("reporting_persons"), "sole_voting_power", "shared_voting_power", "sole_dispositive_power", "shared_dispositive_power", "beneficially_owned", "percent_of_class", F.array_join("signatures", "|").alias("signatures"))
 
 
@@ -92,7 +97,7 @@ def proxy_proposals(s, d):
     row = lambda n, t, v: f"<tr><td>{n}</td><td>{t}</td><td>{v}</td></tr>"
     rows = row("No", "Proposal", "Vote") + row(1, "Election of Directors", "FOR") + row(2, "Ratify the auditor of plant {s_nationkey}", "FOR") + row(3, "Advisory vote on executive compensation", "{vote}") + row(4, "Report on item {s_suppkey}", "AGAINST")
     doc = _text(f"<p>The annual meeting is on May 5, 2024.</p><table>{rows}</table>", vote=F.when(F.col("s_suppkey") % 2 == 0, "FOR").otherwise("AGAINST"))
-    r = disclosures.records(_table(s, d, "supplier").select("s_suppkey", doc.alias("content")), ["s_suppkey"], "proxy")
+    r = disclosures.records(_dealt(s, d, "supplier", "s_suppkey").select("s_suppkey", doc.alias("content")), ["s_suppkey"], "proxy")
     return r.select("s_suppkey", "meeting_date", "has_say_on_pay", F.explode("proposals").alias("p")).select("s_suppkey", "meeting_date", "has_say_on_pay", "p.*")
 
 

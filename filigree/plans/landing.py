@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from filigree.plans.archive import archive_filings, archived_files
-from filigree.plans.forms import _table, _text
+from filigree.plans.forms import _dealt, _table, _text
 from filigree.plans.registry import parse_filings
 from filigree.sources import documents
 from filigree.sources.landed import land, landed_documents as read_landed
@@ -96,7 +96,7 @@ MIXED = [
 
 def mixed_forms(s, d):
     """All families of forms dealt to orders, parsed in one pass into variant records."""
-    o = _table(s, d, "orders").withColumn("_i", (F.col("o_orderkey") % len(MIXED)).cast("int"))
+    o = _dealt(s, d, "orders", "o_orderkey").withColumn("_i", (F.col("o_orderkey") % len(MIXED)).cast("int"))
     pick = lambda at: F.element_at(F.array(*[F.lit(m[at]) for m in MIXED]), F.col("_i") + 1)
     content = F.coalesce(*[F.when(F.col("_i") == i, _text(m[3], k=F.floor("o_totalprice"), n=F.col("o_custkey") + 100)) for i, m in enumerate(MIXED)])
     docs = o.select("o_orderkey", pick(0).alias("form"), pick(1).alias("document_type"), pick(2).alias("sequence"), content.alias("content"))

@@ -3,6 +3,8 @@
 A parser takes one text and returns a list of dictionaries. Rows of the result
 carry the key columns of their document; a document that a parser cannot read
 gives one row whose ``_error`` tells why, and never fails the query.
+A parser's tasks are those of its documents; ``dealt`` spreads documents, or what
+they are made of, where these come from few short files.
 """
 
 from __future__ import annotations
@@ -18,6 +20,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE = 1 << 21
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to all cores by their keys.
+
+    A file of short rows is read by one task however many rows it has, and a
+    document made of each takes far longer to parse than the row to move. A fixed
+    number of partitions, since the planner would join partitions of few bytes.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def parsed(docs: DataFrame, keys: list[str], content: str, parser: Callable[[str], list[dict]], schema: str) -> DataFrame:
     own = T.StructType([docs.schema[k] for k in keys])
     full = T.StructType([*own.fields, *T.StructType.fromDDL(schema).fields, T.StructField("_error", T.StringType())])

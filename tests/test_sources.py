@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from filigree.sources import documents, filings, xmlforms
@@ -61,3 +62,29 @@ def test_xml_forms():
 def test_content_selector_plan(spark):
     docs = documents.submission_documents(spark.createDataFrame([(1, SUB)], "accession long, text string"), ["accession"])
     assert docs.select(F.sum("byte_length")).first()[0] > 0
+
+
+PARSED = {"prospectus_parts": "part", "all_sections": "part", "foreign_parts": "customer", "schedule13": "customer", "prospectus": "part", "foreign_issuers": "customer", "proxy_shapes": "customer", "mixed_forms": "orders", "sections": "orders", "inline_facts": "orders", "search_snippets": "part", "exhibits_8k": "customer", "typed_documents": "customer", "form13f_summary": "supplier", "proxy_proposals": "supplier"}
+
+
+@pytest.mark.parametrize("query", PARSED)
+def test_one_short_file_is_parsed_by_many_tasks(spark, tmp_path, query):
+    from filigree.plans import disclosed, forms, landing
+
+    columns = {"part": "id AS p_partkey, 'n' AS p_name, 'b' AS p_brand, 7 AS p_size", "customer": "id AS c_custkey, 'm' AS c_mktsegment, 3 AS c_nationkey", "orders": "id AS o_orderkey, id AS o_custkey, 2.5D AS o_totalprice, '1-URGENT' AS o_orderpriority", "supplier": "id AS s_suppkey, 'n' AS s_name, 2 AS s_nationkey"}
+    spark.range(0, 40, 1, 1).selectExpr(*columns[PARSED[query]].split(", ")).write.parquet(f"{tmp_path}/{PARSED[query]}.parquet")
+    out = (disclosed.QUERIES | forms.QUERIES | landing.QUERIES)[query](spark, str(tmp_path))
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+
+
+def test_prefilters_lose_no_match():
+    from filigree.functions import texts
+
+    assert texts.lacks("net sales", "risk") and not texts.lacks("RISK", "risk") and not texts.lacks("ri\u017fk", "risk")
+    assert texts.plain("a<\u017fcript>x</\u017fcript>b &amp; c") == "a b & c" and texts.plain("<STYLE>x</STYLE> a&nbsp;b &#65;") == "a b A"
+    assert texts.tables("<TABLE><tr><td>a</td></tr></TABLE>")[0]["rows"] == [["a"]] and texts.tables("no") == []
+    long = "x" * 120 + " Ri\u017f\u212a Factors are many, in all of our markets."
+    assert texts.excerpt(long, "Risk Factors", "Item")["byte_length"] > 40
+    report = "Item 1A. Risk Factors one Item 2. Properties two"
+    for _ in range(2):
+        assert texts.section(report, "risk")[0]["content"] == "Item 1A. Risk Factors one" and texts.section(report + "!", "2")[0]["content"] == "Item 2. Properties two!"
