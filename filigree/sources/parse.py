@@ -35,7 +35,10 @@ def parsed(docs: DataFrame, keys: list[str], content: str, parser: Callable[[str
     own = T.StructType([docs.schema[k] for k in keys])
     full = T.StructType([*own.fields, *T.StructType.fromDDL(schema).fields, T.StructField("_error", T.StringType())])
     arrow = to_arrow_schema(full)
-    fields = [f.name for f in full.fields]
+    fields = [(f.name, arrow.field(i).type) for i, f in enumerate(full.fields)]
+
+    def columns(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], kind) for name, kind in fields], schema=arrow)
 
     def run(batches):
         for b in batches:
@@ -51,9 +54,9 @@ def parsed(docs: DataFrame, keys: list[str], content: str, parser: Callable[[str
                     rows.append(key | {"_error": f"{type(e).__name__}: {e}"})
                 size += len(text)
                 if size >= SLICE and rows:
-                    yield pa.RecordBatch.from_pylist([{f: r.get(f) for f in fields} for r in rows], schema=arrow)
+                    yield columns(rows)
                     rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_pylist([{f: r.get(f) for f in fields} for r in rows], schema=arrow)
+                yield columns(rows)
 
     return docs.select(*keys, content).mapInArrow(run, full)
