@@ -58,6 +58,11 @@ PARSERS: dict[str, Callable[[str], list[dict]]] = {
 }
 
 
+def _topic_words(table: dict) -> str:
+    """The words of ``disclosures.topic_corpus``, cases kept."""
+    return " ".join([*([] if table["title_hint"] is None else [table["title_hint"]]), " ".join(table["headers"]), " ".join(c for r in table["rows"][:8] for c in r)])
+
+
 def _wanted(family: Column) -> Column:
     """Which document of a filing its family's parser reads."""
     text, kind = F.lower("content"), F.upper(F.trim(F.coalesce("document_type", F.lit(""))))
@@ -79,13 +84,13 @@ def parse_filings(docs: DataFrame, keys: list[str], topic: str | None = None) ->
 
     def parse(doc: str) -> list[dict]:
         name, _, content = doc.partition("\n")
-        return [{"pos": i, "body": json.dumps(x, ensure_ascii=False)} for i, x in enumerate(PARSERS[name](content))]
+        words = _topic_words if name == "company_report" else lambda x: None
+        return [{"pos": i, "body": json.dumps(x, ensure_ascii=False), "_words": words(x)} for i, x in enumerate(PARSERS[name](content))]
 
-    rows = parsed(routed, [*keys, "_family"], "_doc", parse, "pos int, body string")
-    # Tables of company reports get their topic, by the same expressions as in a plan of their own.
-    t = F.from_json("body", texts.TABLES)
-    best = disclosures.topic_scores(disclosures.topic_corpus(t["title_hint"], t["headers"], t["rows"]))
-    scored = rows.withColumn("_b", F.when((F.col("_family") == "company_report") & F.col("body").isNotNull(), best))
+    rows = parsed(routed, [*keys, "_family"], "_doc", parse, "pos int, body string, _words string")
+    # Tables of company reports get their topic, by the same scores as in a plan of their own. Their words come from the
+    # parser as a column: taken from the body, it would be read again for each of the terms.
+    scored = rows.withColumn("_b", F.when(F.col("_words").isNotNull(), disclosures.topic_scores(F.lower("_words"))))
     scored = scored.where(F.col("_b").isNull() | (F.col("_b.score") >= 3) & topic_is(F.col("_b.topic"), topic))
     labelled = F.to_json(F.struct(F.col("_b.topic").alias("topic"), F.least(F.col("_b.score") / 8.0, F.lit(1.0)).alias("confidence")))
     body = F.when(F.col("_b").isNull(), F.col("body")).otherwise(F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit(", "), F.substring(labelled, 2, 1 << 20)))

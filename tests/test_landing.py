@@ -155,3 +155,16 @@ def test_mixed_forms_use_one_pass(spark):
     assert out.where("id = 1").select(F.variant_get("record", "$.topic", "string"), F.variant_get("record", "$.confidence", "double")).first()[:] == ("tax_rate", 0.75)
     assert parse_filings(docs, ["id"], topic="Debt-Maturity").where("id = 1").count() == 0
     assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_topics_read_a_body_once(spark):
+    from filigree.operators import disclosures
+    from filigree.plans.registry import _topic_words
+
+    rows = [[f"Net Sales {n}", "É"] for n in range(12)]
+    for title in (None, "Debt Maturity"):
+        t = {"title_hint": title, "headers": rows[0], "rows": rows}
+        df = spark.createDataFrame([(title, rows[0], rows)], "t string, h array<string>, r array<array<string>>")
+        assert df.select(disclosures.topic_corpus(F.col("t"), F.col("h"), F.col("r"))).first()[0] == _topic_words(t).lower()
+    docs = spark.createDataFrame([(1, "10-K", "10-K", "1", "x")], "id int, form string, document_type string, sequence string, content string")
+    assert "from_json" not in parse_filings(docs, ["id"])._jdf.queryExecution().executedPlan().toString()
