@@ -12,7 +12,7 @@ from filigree.plans.forms import _table, _text
 from filigree.plans.metrics import financial_metrics
 from filigree.plans.oracles import ORACLES as _O
 from filigree.sources import adapters
-from filigree.sources.shared import shared_folder
+from filigree.sources.shared import shared_folder, stored
 
 
 def _subjects(s, d):
@@ -64,8 +64,8 @@ def number_formats(s, d):
 
 
 def exported_kinds(s, d):
-    """All kinds of exports in both formats, read back and counted by company."""
-    root, facts, out = shared_folder(s, "exports"), adapters.facts(s, d), None
+    """All kinds of exports in both formats, read back and counted by company; five of them read the facts, which are made once."""
+    root, facts, out = shared_folder(s, "exports"), stored(adapters.facts(s, d), "facts"), None
     for i, (kind, source, query) in enumerate([("filings", adapters.run(s, d, adapters.FILINGS), {"form": "10-K", "amendments": True}), ("facts", facts, {"concept": "us-gaap:Revenue"}), ("statements", facts, {"latest": 2}), ("stitch", facts, {"latest": 4}), ("metrics", facts, {"latest": 4}), ("scores", facts, {"latest": 4})]):
         fmt = "arrow" if i % 2 else "parquet"
         n = export(kind, source, f"{root}/{kind}", fmt, **query)
@@ -88,7 +88,7 @@ def agent_pack(s, d):
     from filigree.plans.scores import health_scores
     from filigree.sources.filings import filings
 
-    facts = adapters.facts(s, d)
+    facts = stored(adapters.facts(s, d), "facts")
     f = filings(adapters.run(s, d, adapters.FILINGS).where("cik < 25"), form="10-K", latest=2, order=[F.col("filing_date").desc(), F.col("pos")]).withColumn("source_url", index_url(F.col("cik"), F.col("accession")))
     sections = f.where("pos % 2 = 0").select("cik", F.lit("1A").alias("item"), F.concat(F.lit("risk of "), "accession").alias("content"), F.concat(F.lit("s/"), "accession").alias("source_url"))
     r = R.agent_packs(_subjects(s, d), f, sections, financial_metrics(facts, latest=4), health_scores(facts, latest=1), "10-K", 2, 4, ["risk-factors"])

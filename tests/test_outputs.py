@@ -48,6 +48,16 @@ def test_export_kinds(spark, tmp_path):
             bad()
 
 
+def test_exports_of_facts_read_the_orders_once(spark, monkeypatch):
+    from filigree.plans.outputs import exported_kinds
+
+    read: dict[str, list[str]] = {}
+    for kind, f in E.KINDS.items():
+        monkeypatch.setitem(E.KINDS, kind, lambda source, _k=kind, _f=f, **query: read.setdefault(_k, [*source.inputFiles()]) and _f(source, **query))
+    assert {r.kind for r in exported_kinds(spark, "/root/testdata/sf0.001").select("kind").distinct().collect()} == set(E.KINDS)
+    assert not any("lineitem" in x for k, files in read.items() for x in files) and set(read) == set(E.KINDS)
+
+
 METRICS = "cik long, period_end string, metric string, category string, unit string, value double, display_value string, source_urls array<string>, components array<struct<key:string,value:double>>"
 
 
