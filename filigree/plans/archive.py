@@ -7,7 +7,8 @@ moves the folders of the attempts that Spark accepted to their places, streams
 their ``filing.json`` into the root ``manifest.json``, which appears last and at
 once, and removes the staging folder with whatever lost or killed attempts left.
 So a listing of the root equals its manifest. Nothing but one document is held by
-a task, nothing but one filing's record by the driver.
+a task, nothing but one filing's record by the driver. An archive is read back by
+tasks that list their own folders: the driver learns the folders' names, no file's.
 
 Defined results: a filing archived before is replaced, plain files are added to their folder; names are made safe; a null
 content is an empty file; no rows give a manifest without filings.
@@ -21,16 +22,20 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from filigree.functions.scalars import safe_path_part, truncate_utf8
 from filigree.sources.landed import filesystem
 
 #: Moves of folders at a time.
 MOVES = 16
+#: Tasks that read an archive, the least folders of one, and bytes and files of a batch.
+PARTITIONS, FOLDERS, BATCH, ROWS = 256, 64, 4 << 20, 1 << 12
+_FILES = pa.schema([("folder", pa.string()), ("name", pa.string()), ("bytes", pa.int64()), ("content", pa.binary())])
 
 
 @dataclass
@@ -173,13 +178,66 @@ def archive_filings(docs: DataFrame, root: str, primary_only: bool = False, limi
 _ENTRY = "document_type string, sequence string, filename string, description string, content_type string, byte_length long, written_bytes long, truncated boolean, is_primary boolean, path string, document_url string"
 
 
+class Folders(InputPartition):
+    """The archive's folders that one task lists and reads."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+
+
+class ArchiveReader(DataSourceReader):
+    """Files of an archive: the driver lists the names of folders, tasks list and read what lies in them."""
+
+    def __init__(self, options: dict[str, str]):
+        self.root, self.records, self.empty = options["path"].rstrip("/"), options["records"] == "true", options["empty"] == "true"
+
+    def partitions(self) -> list[Folders]:
+        fs, root = filesystem(self.root)
+        names = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(root)) if x.type == pafs.FileType.Directory and x.base_name[0] not in "_.")
+        share = max(FOLDERS, -(-len(names) // PARTITIONS))
+        return [Folders(names[i : i + share]) for i in range(0, len(names), share)] or [Folders([])]
+
+    def read(self, partition: Folders) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(self.root)
+        rows, size = [], 0
+        for folder in partition.names:
+            for x in fs.get_file_info(pafs.FileSelector(f"{root}/{folder}")):
+                wanted = x.base_name == "filing.json" if self.records else x.base_name[0].isdigit()
+                if x.type != pafs.FileType.File or not wanted or not (x.size or self.empty):
+                    continue
+                with fs.open_input_stream(x.path) as f:
+                    rows.append({"folder": folder, "name": x.base_name, "bytes": x.size, "content": f.read()})
+                size += x.size
+                if size >= BATCH or len(rows) >= ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_FILES)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_FILES)
+
+
+class ArchiveFiles(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "archive_files"
+
+    def schema(self) -> str:
+        return "folder string, name string, bytes long, content binary"
+
+    def reader(self, schema) -> ArchiveReader:
+        return ArchiveReader(self.options)
+
+
+def _files(spark: SparkSession, root: str, records: bool, empty: bool) -> DataFrame:
+    spark.dataSource.register(ArchiveFiles)
+    return spark.read.format("archive_files").option("records", str(records).lower()).option("empty", str(empty).lower()).load(root)
+
+
 def archived(spark: SparkSession, root: str) -> DataFrame:
     """The records of all archived filings, one row each, read by executors from the files beside the documents."""
     schema = f"accession string, company string, form string, filing_date string, source_url string, text_url string, directory string, documents array<struct<{_ENTRY.replace(' string', ':string').replace(' long', ':long').replace(' boolean', ':boolean')}>>"
-    return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "filing.json").json(root)
+    return _files(spark, root, True, True).select(F.from_json(F.col("content").cast("string"), schema).alias("r")).select("r.*")
 
 
-def archived_files(spark: SparkSession, root: str) -> DataFrame:
-    """(accession folder, name, bytes, content) of the document files that lie in the archive; Spark's file scans leave out empty ones."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[0-9]*").load(root)
-    return files.select(F.element_at(F.split("path", "/"), -2).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), "content")
+def archived_files(spark: SparkSession, root: str, empty: bool = False) -> DataFrame:
+    """(accession folder, name, bytes, content) of the document files that lie in the archive, empty ones only where asked for."""
+    return _files(spark, root, False, empty)

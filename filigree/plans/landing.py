@@ -66,7 +66,7 @@ def archive_records(s, d):
     """The archive's own records, joined to what lies in its files."""
     root, filings = _archive(s, d, limit_bytes=200)
     entries = filings.select("accession", "company", "form", F.explode("documents").alias("e")).select("accession", "company", "form", F.element_at(F.split("e.path", "/"), -1).alias("name"), "e.document_type", "e.byte_length", "e.written_bytes", "e.truncated", "e.is_primary")
-    files = archived_files(s, root).select(F.col("folder").alias("accession"), "name", F.col("bytes").alias("file_bytes"), F.md5("content").alias("digest"))
+    files = archived_files(s, root, empty=True).select(F.col("folder").alias("accession"), "name", F.col("bytes").alias("file_bytes"), F.md5("content").alias("digest"))
     return entries.join(files, ["accession", "name"], "full")
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from filigree.plans.archive import FilesWriter, archive_filings, archived_files, write_files
+from filigree.plans.archive import ArchiveReader, FilesWriter, archive_filings, archived, archived_files, write_files
 from filigree.plans.registry import parse_filings
 from filigree.sources.documents import split_submission
 from filigree.sources.landed import LandedReader, dealt, documents_in, land, landed_documents, packed
@@ -113,6 +113,18 @@ def test_archive_of_files(spark, tmp_path):
     assert empty.count() == 0 and json.load(open(f"{tmp_path}/none/manifest.json"))["filings"] == []
 
 
+def test_reading_an_archive_lists_no_file_on_the_driver(spark, tmp_path):
+    root = f"{tmp_path}/out"
+    rows = [(f"a{n}", "C", "10-K", "2024-01-02", "s", None, i, "10-K", str(i + 1), "d.txt", None, "text", "x" * (i > 0), "u") for n in range(200) for i in range(2)]
+    out = archive_filings(spark.createDataFrame(rows, DOCS), f"file://{root}")
+    assert "FileScan" not in out._jdf.queryExecution().executedPlan().toString() + archived_files(spark, root)._jdf.queryExecution().executedPlan().toString()
+    r = ArchiveReader({"path": root, "records": "false", "empty": "true"})
+    parts = r.partitions()
+    assert len(parts) == 4 and sorted(x for p in parts for x in p.names) == sorted({x[0] for x in rows})
+    assert sorted(len(x.documents) for x in archived(spark, root).collect()) == [2] * 200
+    assert archived_files(spark, root).count() == 200 and archived_files(spark, root, empty=True).where("bytes = length(content)").count() == 400
+
+
 def test_lost_attempts_leave_nothing(tmp_path):
     root = f"{tmp_path}/out"
     w = FilesWriter({"path": root, "about": json.dumps({"cik": 1})})
