@@ -11,7 +11,11 @@ vocabulary; the one that ends here and suits its predecessor completes the
 prefix. Tokens on which all open ones agree are emitted, after a lookahead bounded
 by the vocabulary, not by the text.
 States are determinised lazily: a state and its transitions are built when first
-met, and all are forgotten when ``STATES`` is reached.
+met, and all are forgotten when ``STATES`` is reached. A short match, whose tokens
+need not leave before its end, goes through the same machine before it is
+determinised: failure links of the trie lead from the longest open token to the
+shorter ones, and the last token of each prefix is kept until the match ends. So an
+invented word builds no state that only it will use.
 
 Each match of the pattern is encoded by itself; a match that is a token is that
 token. Long texts are read in segments of ``SEGMENT`` characters, cut between a
@@ -34,7 +38,7 @@ import base64
 import hashlib
 import itertools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +47,8 @@ from filigree.llm.frames import map_batches, table
 
 #: States held, matches remembered, their length, and characters of a segment.
 STATES, MEMO, MEMO_CHARS, SEGMENT = 1 << 17, 1 << 19, 48, 1 << 10
+#: Pairs of neighbours and links over a failure that are remembered.
+PAIRS, LINKS = 1 << 20, 1 << 19
 
 
 def parse_ranks(lines: bytes) -> dict[bytes, int]:
@@ -86,8 +92,53 @@ class Transducer:
             self.token[node] = i
         self.edges: dict[int, tuple[list[int], list[bytes], list[bytes]] | None] = {}
         self.suits: dict[int, bool] = {}
+        self._link()
         self._forget()
 
+    def _link(self) -> None:
+        """Failure links (node of the longest proper suffix in the trie) and the tokens that end at each node, longest first:
+        token, its length, and which tokens before it are known to suit it."""
+        below: dict[int, list[tuple[int, int]]] = {}
+        for key, node in self.child.items():
+            below.setdefault(key >> 8, []).append((key & 255, node))
+        self.fail, self.ends = [0] * len(self.token), [()] * len(self.token)
+        level, depth = [0], 0
+        while level:
+            depth, deeper = depth + 1, []
+            for parent in level:
+                for byte, node in below.get(parent, ()):
+                    if parent:
+                        at = self.fail[parent]
+                        while at and at << 8 | byte not in self.child:
+                            at = self.fail[at]
+                        self.fail[node] = self.child.get(at << 8 | byte, 0)
+                    shorter = self.ends[self.fail[node]]
+                    self.ends[node] = ((self.token[node], depth, {}), *shorter) if self.token[node] >= 0 else shorter
+                    deeper.append(node)
+            level = deeper
+        self.moves, self.pairs = dict(self.child), 0
+
+    def _move(self, node: int, byte: int) -> int:
+        """The node after a byte that the node has no child for."""
+        if len(self.moves) >= len(self.child) + LINKS:
+            self.moves.clear()
+            self.moves.update(self.child)
+        at = node
+        while at and at << 8 | byte not in self.child:
+            at = self.fail[at]
+        known = self.moves[node << 8 | byte] = self.child.get(at << 8 | byte, 0)
+        return known
+
+    def _fits(self, before: int, t: int, fits: dict[int, bool]) -> bool:
+        if self.pairs >= PAIRS:
+            for known in self.ends:
+                for _, _, held in known[:1]:
+                    held.clear()
+            self.pairs = 0
+        self.pairs += 1
+        found = fits[before] = self._meets(before, t)
+        return found
+
     def _forget(self) -> None:
         first = (-1, ((0, ()),))
         self.states, self.number, self.step = [first], {first: self.START}, {}
@@ -105,29 +156,31 @@ class Transducer:
             self.edges[t] = ([*ranks, _NEVER], first, last) if len(parts) == 1 else None
         return self.edges[t]
 
-    def _follows(self, before: int, t: int) -> bool:
+    def _meets(self, before: int, t: int) -> bool:
         """Whether ``t`` may stand after ``before`` (-1: at the start): no merge reaches across while both grow, lowest rank first."""
         right = self._merged(t)
         if right is None or before < 0:
             return right is not None
+        i, j = 0, 0
+        (l_ranks, _, l_last), (r_ranks, r_first, _) = self._merged(before), right
+        while True:
+            across = self.ranks.get(l_last[i] + r_first[j], _NEVER)
+            # Of equal ranks the leftmost pair merges first.
+            if across < l_ranks[i] and across <= r_ranks[j]:
+                return False
+            if l_ranks[i] <= r_ranks[j]:
+                if l_ranks[i] == _NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def _follows(self, before: int, t: int) -> bool:
+        """``_meets``, remembered as long as the states are."""
         key = before << 32 | t
         known = self.suits.get(key)
         if known is None:
-            known, i, j = True, 0, 0
-            (l_ranks, _, l_last), (r_ranks, r_first, _) = self._merged(before), right
-            while True:
-                across = self.ranks.get(l_last[i] + r_first[j], _NEVER)
-                # Of equal ranks the leftmost pair merges first.
-                if across < l_ranks[i] and across <= r_ranks[j]:
-                    known = False
-                    break
-                if l_ranks[i] <= r_ranks[j]:
-                    if l_ranks[i] == _NEVER:
-                        break
-                    i += 1
-                else:
-                    j += 1
-            self.suits[key] = known
+            known = self.suits[key] = self._meets(before, t)
         return known
 
     def _build(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
@@ -189,6 +242,42 @@ class Transducer:
         out += self.end(self.feed(self.START, data, out))
         return out
 
+    def short(self, data: bytes) -> list[int]:
+        """``run`` for few bytes, by failure links: the last token of each prefix is held to the end."""
+        moves, ends, node, last = self.moves, self.ends, 0, [-1]
+        for byte in data:
+            try:
+                node = moves[node << 8 | byte]
+            except KeyError:
+                node = self._move(node, byte)
+            for t, size, fits in ends[node]:
+                before = last[-size]  # the last token of what precedes this one
+                try:
+                    known = fits[before]
+                except KeyError:
+                    known = self._fits(before, t, fits)
+                if known:
+                    last.append(t)
+                    break
+            else:
+                raise ValueError(f"the vocabulary has no token for byte {byte}")
+        out, at = [], len(data)
+        while at:
+            out.append(last[at])
+            at -= len(self.bytes_of[last[at]])
+        return out[::-1]
+
+
+class Memo(dict):
+    """Ids of matches; those of one not met before are asked for."""
+
+    def __init__(self, fresh: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.fresh = fresh
+
+    def __missing__(self, match: str) -> tuple[int, ...]:
+        return self.fresh(match)
+
 
 class Encoder:
     """Texts to ids."""
@@ -203,7 +292,7 @@ class Encoder:
         narrow = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
         self.ascii_matches = self.matches if r"\p" in narrow else re.compile(narrow, re.ASCII).findall
         self.transducer = Transducer(ranks)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo = Memo(self._fresh)
 
     def segments(self, text: str, size: int = SEGMENT) -> Iterator[str]:
         at = 0
@@ -215,8 +304,9 @@ class Encoder:
     def _fresh(self, match: str) -> tuple[int, ...]:
         data = match.encode()
         whole = self.transducer.ranks.get(data)
-        ids = (whole,) if whole is not None else tuple(self.transducer.run(data))
-        if len(match) <= MEMO_CHARS:
+        short = len(match) <= MEMO_CHARS
+        ids = (whole,) if whole is not None else tuple(self.transducer.short(data) if short else self.transducer.run(data))
+        if short:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[match] = ids
@@ -224,10 +314,10 @@ class Encoder:
 
     def encode(self, text: str) -> Iterator[list[int]]:
         """The ids, segment by segment."""
-        get = self.memo.get
+        get = self.memo.__getitem__
         for segment in self.segments(text):
             found = (self.ascii_matches if segment.isascii() else self.matches)(segment)
-            yield list(itertools.chain.from_iterable([ids if (ids := get(m)) is not None else self._fresh(m) for m in found]))
+            yield list(itertools.chain.from_iterable(map(get, found)))
 
 
 def _after(state: int, byte: int) -> int:

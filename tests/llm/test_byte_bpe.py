@@ -85,6 +85,28 @@ def test_transducer_on_random_vocabularies():
             assert small.run(data) == big.run(data) == want
 
 
+def test_short_matches_build_no_states(ranks, library):
+    """Invented words go by failure links, with the tokens that the determinised machine finds."""
+    e, r = Encoder(ranks, PATTERN), random.Random(11)
+    words = ["".join(r.choices("etaoinshrdlué日", k=r.randrange(1, 16))) for _ in range(4000)]
+    assert ids(e, " ".join(words)) == library.encode_ordinary(" ".join(words))
+    assert len(e.transducer.states) == 1
+    assert all(e.transducer.short(w.encode()) == e.transducer.run(w.encode()) for w in words)
+    for _ in range(60):
+        tokens = [bytes([c]) for c in b"abc"]
+        while len(tokens) < 24:
+            t = r.choice(tokens) + r.choice(tokens)
+            if t not in tokens and len(t) < 9:
+                tokens.append(t)
+        order = list(range(3, len(tokens)))
+        if r.random() < 0.3:
+            r.shuffle(order)
+        small = Transducer({t: i if i < 3 else order[i - 3] for i, t in enumerate(tokens)})
+        for _ in range(60):
+            data = bytes(r.choices(b"abc", k=r.randrange(40)))
+            assert small.short(data) == small.run(data)
+
+
 def test_lookahead_is_bounded(ranks):
     t = Transducer(ranks)
     data, out, state = ("the quick brown été " * 400).encode(), [], Transducer.START
