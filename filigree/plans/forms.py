@@ -53,7 +53,7 @@ def linkbase_edges(s, d):
 def fund_holdings(s, d):
     """A fund report a customer, a holding an order."""
     one = _text("<invstOrSec><name>Order {o_orderkey}</name><balance>{o_custkey}</balance><valUSD>{k}</valUSD><assetCat>EC</assetCat><isRestrictedSec>{r}</isRestrictedSec></invstOrSec>", k=F.floor("o_totalprice"), r=F.when(F.col("o_orderkey") % 2 == 0, "Y").otherwise("N"))
-    docs = _joined(_table(s, d, "orders"), "o_custkey", "o_orderkey", one, "<f:edgarSubmission xmlns:f='f'><regName>Fund {o_custkey}</regName><repPdEnd>2023-12-31</repPdEnd><totAssets>1,000.5</totAssets>", "</f:edgarSubmission>")
+    docs = _joined(_dealt(s, d, "orders", "o_custkey"), "o_custkey", "o_orderkey", one, "<f:edgarSubmission xmlns:f='f'><regName>Fund {o_custkey}</regName><repPdEnd>2023-12-31</repPdEnd><totAssets>1,000.5</totAssets>", "</f:edgarSubmission>")
     h = xmlforms.parse_column(docs, ["o_custkey"], "fund").select("o_custkey", "registrant", "period_end", "total_assets", "holdings_count", F.posexplode("holdings").alias("pos", "h"))
     return h.select("o_custkey", "registrant", "period_end", "total_assets", "holdings_count", "pos", "h.name", "h.balance", "h.value_usd", "h.asset_category", "h.restricted")
 

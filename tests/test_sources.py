@@ -104,3 +104,12 @@ def test_records_of_many_holdings():
     assert (r["registrant"], r["holdings_count"]) == ("R", 2) and r["holdings"][1]["name"] == "N" and r["holdings"][1]["value_usd"] == 7 and r["holdings"][1]["cusip"] is None
     # Names of elements are resolved once each: 500 holdings take a small part of a second.
     assert root_time < 1 and xmlforms.local.cache_info().hits > 4000
+
+
+def test_fund_reports_are_parsed_by_all_cores(spark):
+    from filigree.plans.forms import fund_holdings
+
+    out = fund_holdings(spark, "/root/testdata/sf0.001")
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and out.count() > 0
+    # Dealing the orders by customer is the grouping's own exchange.
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Aggregate") == 2 and out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
